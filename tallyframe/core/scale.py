@@ -34,16 +34,20 @@ def hash_order(seed: int, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
-def hash_rank(df: DataFrame, groups: Sequence[str], id_col: str, seed: int, prefix: int = 3) -> DataFrame:
+def hash_rank(
+    df: DataFrame, groups: Sequence[str], id_col: str, seed: int, prefix: int = 3, hash_on: Sequence[str] | None = None
+) -> DataFrame:
     """Add ``rank`` (1-based, by seeded hash inside ``groups``) and ``group_size``.
 
+    The hash covers ``id_col``, or ``hash_on`` where other columns take part in it.
+
     The first hex digits of the hash cut every group into even pieces, so the window sorts a piece
     and never a group; the offset of a piece comes from a count per (group, piece).
     """
     groups = list(groups)
     for g in groups:
         df = df.filter(F.col(g).isNotNull())
-    keyed = df.withColumn("_h", hash_order(seed, id_col)).withColumn("_piece", F.substring("_h", 1, prefix))
+    keyed = df.withColumn("_h", hash_order(seed, *(hash_on or [id_col]))).withColumn("_piece", F.substring("_h", 1, prefix))
     keys = groups + ["_piece"]
     pieces = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))

@@ -264,7 +264,7 @@ def failure_rates(df: DataFrame, by: Column, failed: Column, only_failed: bool =
 def kept_reliability(scores: DataFrame, n: str = "n_test", f1: str = "f1") -> DataFrame:
     """Reliability label per class: enough tests and a high enough score, else the reason."""
     label = (F.when(F.col(n) < fixed.RELIABLE_MIN_TESTS, F.format_string("low (%d tests)", F.col(n)))
-             .when(F.col(f1) < fixed.RELIABLE_MIN_F1, F.format_string("low (F1 %.2f)", F.col(f1))).otherwise("high"))
+             .when(F.col(f1) < fixed.RELIABLE_MIN_F1, F.concat(F.lit("low (F1 "), F.format_number(f1, 2), F.lit(")"))).otherwise("high"))
     return scores.withColumn("reliability", label).withColumn("is_low", F.col("reliability") != "high")
 
 

@@ -125,7 +125,7 @@ def attempt_sequence(df: DataFrame, key: list[str], order: list[str], success: C
 def share_of_max(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     """Value relative to the largest of its group; ``counts`` is an aggregate, one row per key."""
     top = counts.groupBy(*group).agg(F.max(value).alias("_top"))
-    return counts.join(top, group).withColumn("share", F.col(value) / F.col("_top")).drop("_top")
+    return counts.join(top, group).withColumn("share", F.try_divide(F.col(value), F.col("_top"))).drop("_top")
 
 
 def group_pages(df: DataFrame, group: str, order: str, per_page: int) -> DataFrame:

@@ -1 +1,79 @@
-"""Placeholder."""
+"""Model fits bound to the driver tables. Fits have no SQL twin; tests check their invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..core.session import materialise
+from ..operators import evaluate as ev
+from ..operators import models as mo
+from .registry import query
+from .vector_plans import split_vectors
+
+
+@query("linear_probe_fit")
+def _(t):
+    split = materialise(split_vectors(t))
+    probe = mo.linear_probe_fit(split.filter("split = 'train'"), "embedding", "label", C=1.0, max_iter=100)
+    s = probe.score(split).select("split", "label", ev.topk_labels("probs", 1)[0]["label"].alias("pred"))
+    return ev.accuracy_macro_f1(s, "label", "pred", ["split"])
+
+
+def out_of_fold(t, max_iter: int = 50):
+    return mo.cv_out_of_fold(t.embeddings, "vec_id", "embedding", "label", folds=5, seed=42, max_iter=max_iter)
+
+
+@query("cv_out_of_fold")
+def _(t):
+    s = out_of_fold(t).select("vec_id", "fold", "label", ev.topk_labels("probs", 1)[0]["label"].alias("pred"))
+    return s.select("vec_id", "fold", "label", "pred")
+
+
+@query("mixed_feature_probe")
+def _(t):
+    docs = t.documents.select("doc_id", "lang", "source", "n_chars", F.size(F.split("text", "\n")).alias("n_lines"))
+    docs = docs.withColumn("n_chars", F.col("n_chars").cast("double")).withColumn("n_lines", F.col("n_lines").cast("double"))
+    sets = {"numbers": ([], ["n_chars", "n_lines"]), "all": (["source"], ["n_chars", "n_lines"])}
+    p = mo.mixed_feature_probe(docs, "doc_id", "lang", sets, ["logistic", "forest"], folds=3, seed=42, trees=20, max_iter=30)
+    return ev.accuracy_macro_f1(p, "truth", "pred", ["feature_set", "model"])
+
+
+@query("ridge_cv_r2")
+def _(t):
+    e = t.embeddings.select("vec_id", F.slice("embedding", 2, 63).alias("rest"), F.get("embedding", F.lit(0)).cast("double").alias("target"))
+    return mo.ridge_cv_r2(e, "vec_id", "rest", "target", [0.1, 1.0, 10.0], folds=5)
+
+
+@query("platt_compare")
+def _(t):
+    oof = materialise(out_of_fold(t).select("vec_id", "label", "logits", "probs"))
+    params = mo.platt_fit(oof, "logits", "label")
+    both = mo.platt_apply(oof, "logits", params)
+    return ev.calibration_report(both, "probs", "platt", "label")
+
+
+@query("temperature_fit_out_of_fold")
+def _(t):
+    return ev.temperature_fit(out_of_fold(t), "logits", "label", 1e-4)
+
+
+@query("variant_scores_retrained")
+def _(t):
+    """The retrained scheme: out-of-fold predictions on each version of the vectors, long form."""
+    parts = None
+    for i, version in enumerate(("original", "subject_only")):
+        e = t.embeddings.select("vec_id", "label", F.slice("embedding", 1 + 32 * i, 32).alias("v"))
+        s = mo.cv_out_of_fold(e, "vec_id", "v", "label", folds=3, seed=42, max_iter=30)
+        s = s.select(F.lit("B_retrained_cv").alias("scheme"), F.lit(version).alias("version"), F.col("label").alias("truth"), ev.topk_labels("probs", 1)[0]["label"].alias("pred"))
+        parts = s if parts is None else parts.unionByName(s)
+    return ev.accuracy_macro_f1(parts, "truth", "pred", ["scheme", "version"])
+
+
+@query("cluster_silhouette")
+def _(t):
+    return mo.cluster_silhouette(t.embeddings, "embedding", "label")
+
+
+@query("project_2d")
+def _(t):
+    return mo.project_2d(t.embeddings, "embedding").place(t.embeddings).select("vec_id", "label", "x", "y")
