@@ -97,6 +97,47 @@ def range_rank(df: DataFrame, order: Sequence[Column], partitions: int | None =
     )
 
 
+def group_rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], partitions: int | None = None) -> DataFrame:
+    """Add ``rank`` (1-based, inside ``groups``) for a total order, for groups of any size.
+
+    One range partitioning by (groups, order): the rank in a group is the global rank minus the rank
+    at which the group starts, so a hot group spans many tasks.
+    """
+    groups = list(groups)
+    keys = [*[F.col(g) for g in groups], *[F.col(o) if isinstance(o, str) else o for o in order]]
+    ranked = range_rank(df.dropna(subset=groups), keys, partitions)
+    starts = ranked.groupBy(*groups).agg(F.min("rank").alias("_first"))
+    return join_small(ranked, starts, groups).withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("total", "_first")
+
+
+def hash_head(df: DataFrame, groups: Sequence[str], id_col: str, seed: int, take: Column, name: str,
+              unique_ids: bool = True, prefix: int = 3) -> DataFrame:
+    """Add the flag ``name``: whether the row's id is among the first ``take`` of its group in hash order.
+
+    ``take`` may use ``group_size`` (ids per group). The hash prefix cuts a group into even pieces;
+    counts per piece say which pieces lie wholly inside or outside the head. Only the one piece that
+    the boundary runs through is ranked, so the rows are neither sorted nor shuffled as a whole.
+    """
+    groups = list(groups)
+    keyed = df.dropna(subset=groups).withColumn("_h", hash_order(seed, id_col)).withColumn("_piece", F.substring("_h", 1, prefix))
+    keys = groups + ["_piece"]
+    count = F.count(F.lit(1)) if unique_ids else F.countDistinct(id_col)
+    per = Window.partitionBy(*groups)
+    pieces = keyed.groupBy(*keys).agg(count.alias("_n")).withColumn("group_size", F.sum("_n").over(per))
+    upto = F.sum("_n").over(per.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0))
+    pieces = pieces.withColumn("_upto", upto).withColumn("_take", take)
+    pieces = materialise(pieces.select(
+        *keys, (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_left"),
+        F.when(F.col("_upto") <= F.col("_take"), True).when(F.col("_upto") - F.col("_n") >= F.col("_take"), False).alias(name)))
+    if pieces.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pieces = F.broadcast(pieces)
+    rows = keyed.join(pieces, keys)
+    sure = rows.filter(F.col(name).isNotNull())
+    inside = Window.partitionBy(*keys).orderBy("_h", id_col)
+    edge = rows.filter(F.col(name).isNull()).withColumn(name, F.dense_rank().over(inside) <= F.col("_left"))
+    return sure.unionByName(edge).drop("_h", "_piece", "_left")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -28,11 +28,11 @@ def temperature_softmax(scores: Column | str, temperature: float = 1.0) -> Colum
     return F.zip_with(scores, e, lambda s, x: F.struct(s["label"].alias("label"), (x / total).alias("score")))
 
 
-def _nll(scores: str, truth: str, t: float) -> Column:
-    z = F.transform(scores, lambda s: s["score"] / F.lit(t))
+def _nll(scores: str, truth: str, t: Column) -> Column:
+    z = F.transform(scores, lambda s: s["score"] / t)
     top = F.array_max(z)
     lse = F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
-    own = F.aggregate(scores, F.lit(None).cast("double"), lambda a, s: F.when(s["label"] == F.col(truth), s["score"] / F.lit(t)).otherwise(a))
+    own = F.element_at(F.filter(scores, lambda s: s["label"] == F.col(truth)), 1)["score"] / t
     return lse - own
 
 
@@ -40,7 +40,8 @@ def temperature_fit(df: DataFrame, scores: str, truth: str, resolution: float =
     """Scalar T that minimises the mean negative log likelihood of softmax(score / T): one row.
 
     The loss is convex in 1/T, so a coarse lattice on log T brackets the minimum and each pass
-    refines it 16-fold: a few aggregations over the data, each with all its temperatures at once.
+    refines it 16-fold: a few aggregations over the data, each with all its temperatures at once
+    and one row per temperature and task to shuffle. Rows whose truth has no score are left out.
     """
     from math import ceil, floor, log
 
@@ -49,19 +50,19 @@ def temperature_fit(df: DataFrame, scores: str, truth: str, resolution: float =
     while (hi - lo) / step > 32:
         step *= 16
     points = list(range(lo, hi + 1, step))
-    rows = materialise(df.select(scores, truth))
+    rows = materialise(df.select(scores, truth).filter(F.exists(scores, lambda s: s["label"] == F.col(truth))))
     while True:
-        one = rows.agg(*[F.avg(_nll(scores, truth, exp(i * resolution))).alias(f"t{j}") for j, i in enumerate(points)]).first()
-        loss = [(one[f"t{j}"], i) for j, i in enumerate(points) if one[f"t{j}"] is not None]
-        if not loss:
+        grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(exp(i * resolution)).alias("t")) for i in points]))
+        loss = rows.select(scores, truth, grid.alias("_g")).groupBy("_g.i").agg(F.avg(_nll(scores, truth, F.col("_g.t"))).alias("nll"))
+        best = loss.agg(F.min(F.struct("nll", "i")).alias("b")).first()["b"]
+        if best is None or best["nll"] is None:
             return df.sparkSession.createDataFrame([], "temperature double, nll double")
-        best_loss, best = min(loss)
         if step == 1:
             break
         finer = max(1, step // 16)
-        points = list(range(max(lo, best - step), min(hi, best + step) + 1, finer))
+        points = list(range(max(lo, best["i"] - step), min(hi, best["i"] + step) + 1, finer))
         step = finer
-    return df.sparkSession.createDataFrame([(exp(best * resolution), best_loss)], "temperature double, nll double")
+    return df.sparkSession.createDataFrame([(exp(best["i"] * resolution), best["nll"])], "temperature double, nll double")
 
 
 def calibration_bins(conf: Column, bins: int = fixed.ECE_BINS) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core.scale import group_rank
 from ..functions.text import title_parse
 from .windows import latest_per_key
 
@@ -63,12 +64,13 @@ def parsed_titles(df: DataFrame, title: str) -> DataFrame:
 def candidates(items: DataFrame, titles: DataFrame, code: str, view: str) -> DataFrame:
     """All same-view candidates of each item with their rank: lowest shot first, then title.
 
-    ``titles`` has ``code, view, shot, title``. The rank is a window per item and view.
+    ``titles`` has ``code, view, shot, title``. Ranks come from one range partitioning, so a code
+    with very many titles spans many tasks.
     """
     left = items.withColumn("_code", F.lower(F.col(code))).withColumn("_view", F.col(view))
     right = titles.select(F.col("code").alias("_code"), F.col("view").alias("_view"), "shot", "title")
-    w = Window.partitionBy("_code", "_view").orderBy("shot", "title")
-    return left.join(right.withColumn("rank", F.row_number().over(w)), ["_code", "_view"]).drop("_code", "_view")
+    ranked = group_rank(right, ["_code", "_view"], ["shot", "title"])
+    return left.join(ranked, ["_code", "_view"]).drop("_code", "_view")
 
 
 def best_candidate(items: DataFrame, titles: DataFrame, code: str, view: str) -> DataFrame:

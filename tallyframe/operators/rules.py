@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..core.scale import join_small
+from ..functions.text import strip_suffix_code
 
 # (name, value column, threshold, ">=" or "<=")
 Test = tuple[str, Column | str, float | Column, str]
@@ -95,10 +96,11 @@ def facet_search(df: DataFrame, facet: str, value: str, needle: str, columns: li
     return out.filter(hit)
 
 
-def suffix_record_check(df: DataFrame, code: Column, record: str) -> DataFrame:
-    """Per code: number of records and items, and whether its items sit in one record or in several."""
-    per = df.withColumn("code", code).groupBy("code").agg(
-        F.countDistinct(record).alias("n_records"), F.count(F.lit(1)).alias("n_items"))
-    verdict = (F.when(F.col("n_records") > 1, "several records").when(F.col("n_items") > 1, "one record, several items")
-               .otherwise("single item"))
+def suffix_record_check(df: DataFrame, raw: str, record: str) -> DataFrame:
+    """Per code without its suffix: is it held in several suffixed records or in one with several items?"""
+    per = df.withColumn("code", strip_suffix_code(raw)).groupBy("code").agg(
+        F.countDistinct(record).alias("n_records"), F.count(F.lit(1)).alias("n_items"),
+        F.count_if(F.col(raw) != F.col("code")).alias("n_suffixed"))
+    verdict = (F.when((F.col("n_records") > 1) & (F.col("n_suffixed") > 0), "one record per view")
+               .when(F.col("n_records") == 1, "one record with all items").otherwise("inconclusive"))
     return per.withColumn("verdict", verdict)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.scale import hash_order, hash_rank, join_small
+from ..core.scale import hash_head, hash_order, hash_rank, join_small
+from ..core.session import materialise
 from .windows import hash_first
 
 
@@ -90,17 +91,16 @@ def diff_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("column").agg(F.count(F.lit(1)).alias("n_changed"), F.max("delta").alias("max_delta"))
 
 
-def stratified_split(df: DataFrame, cls: str, id_col: str, fraction: float, seed: int) -> DataFrame:
+def stratified_split(df: DataFrame, cls: str, id_col: str, fraction: float, seed: int, unique_ids: bool = True) -> DataFrame:
     """Add ``split``. Per class the first max(1, round(n * fraction)) ids in hash order are test.
 
-    The hash prefix cuts every class into even pieces, so no task sorts a whole class. Rows that
-    share an id share its split.
+    Two scans and a count per (class, hash piece); no row is shuffled except those of the one piece
+    per class that the boundary runs through. Set ``unique_ids`` to False where rows share ids:
+    the ids are then counted once and all rows of an id get its split.
     """
-    ids = df.select(cls, id_col).distinct()
-    ranked = hash_rank(ids, [cls], id_col, seed)
     n_test = F.greatest(F.lit(1), F.bround(F.col("group_size") * F.lit(fraction), 0).cast("long"))
-    marks = ranked.select(cls, id_col, F.when(F.col("rank") <= n_test, "test").otherwise("train").alias("split"))
-    return df.join(marks, [cls, id_col])
+    marked = hash_head(df, [cls], id_col, seed, n_test, "_test", unique_ids)
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def stratified_folds(df: DataFrame, cls: str, id_col: str, k: int, seed: int) -> DataFrame:
@@ -135,7 +135,7 @@ def quota_sample(df: DataFrame, cls: str, id_col: str, quotas: list[tuple[Column
 
     for cond, n, why in quotas:
         chosen = pool_of(cond).groupBy(cls).agg(best.alias("_b")).orderBy("_b").limit(n)
-        chosen = chosen.select(cls, F.col(f"_b.{id_col}").alias(id_col), F.lit(why).alias("why"))
+        chosen = materialise(chosen.select(cls, F.col(f"_b.{id_col}").alias(id_col), F.lit(why).alias("why")))  # n rows
         parts.append(chosen)
         used = chosen if used is None else used.unionByName(chosen)
     rest = pool_of(F.lit(True)).groupBy(cls).agg(best.alias("_b"))
@@ -143,6 +143,7 @@ def quota_sample(df: DataFrame, cls: str, id_col: str, quotas: list[tuple[Column
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
+    picked = materialise(picked)  # at most one row per class
     # the number of extras depends on how many were picked: number the candidates and compare
     left = base.join(picked.select(id_col), id_col, "left_anti").orderBy("_h", id_col).limit(total)
     left = left.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", id_col)))  # at most total rows

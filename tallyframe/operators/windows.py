@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..core.scale import exact_quantiles, hash_order, join_small, range_rank, running
+from ..core.scale import exact_quantiles, group_rank, hash_order, join_small, range_rank, running
 
 
 def pick_one_per_key(df: DataFrame, key: str, view: str, priority: list[str], order: list[Column]) -> DataFrame:
@@ -129,15 +129,9 @@ def share_of_max(counts: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def group_pages(df: DataFrame, group: str, order: str, per_page: int) -> DataFrame:
-    """Page number of each row inside its group.
-
-    Ranks come from one global range partitioning by (group, order): the rank in the group is the
-    global rank minus the rank at which the group starts, so a hot group spans many tasks.
-    """
-    ranked = range_rank(df.filter(F.col(group).isNotNull()), [F.col(group), F.col(order)])
-    starts = ranked.groupBy(group).agg(F.min("rank").alias("_first"))
-    page = F.floor((F.col("rank") - F.col("_first")) / per_page) + 1
-    return join_small(ranked, starts, [group]).withColumn("page", page).drop("rank", "total", "_first")
+    """Page number of each row inside its group; a hot group spans many tasks."""
+    page = F.floor((F.col("rank") - 1) / per_page) + 1
+    return group_rank(df, [group], [order]).withColumn("page", page).drop("rank")
 
 
 def history_tail(df: DataFrame, key: str, turn: str, role: str, limit: int = fixed.MAX_HISTORY, user: str = "user") -> DataFrame:
@@ -145,11 +139,10 @@ def history_tail(df: DataFrame, key: str, turn: str, role: str, limit: int = fix
     whose last message is not from the user are rejected."""
     w = Window.partitionBy(key).orderBy(F.desc(turn))
     tail = df.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= limit)
-    ends = tail.groupBy(key).agg(
-        F.min(F.when(F.col(role) == user, F.col(turn))).alias("_from"),
-        F.max(F.struct(turn, role)).alias("_last"))
-    ends = ends.filter(F.col("_last")[role] == user).select(key, "_from")
-    return tail.join(ends, key).filter(F.col(turn) >= F.col("_from")).drop("_back", "_from")
+    per = Window.partitionBy(key)  # at most ``limit`` rows are left per key, already in one place
+    tail = tail.withColumn("_from", F.min(F.when(F.col(role) == user, F.col(turn))).over(per))
+    tail = tail.withColumn("_ends", F.max(F.when((F.col("_back") == 1) & (F.col(role) == user), 1)).over(per))
+    return tail.filter((F.col("_ends") == 1) & (F.col(turn) >= F.col("_from"))).drop("_back", "_from", "_ends")
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:

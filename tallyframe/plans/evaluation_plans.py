@@ -151,18 +151,19 @@ def version_predictions(t) -> DataFrame:
         return -F.array_max(e)["k"]
 
     rows = F.array(*[F.struct(F.lit(v).alias("version"), pick(10 * i, b).alias("pred")) for i, (v, b) in enumerate(zip(VERSIONS, (0.3, 0.2, 0.0)))])
-    e = t.embeddings.select("vec_id", F.col("label").alias("truth"), F.explode(rows).alias("r"))
-    rows = e.select("vec_id", "truth", "r.version", "r.pred")
-    subset = F.explode(F.when(F.col("vec_id") % 4 == 0, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("clean"))))
-    return rows.withColumn("subset", subset).withColumn("scheme", F.lit("A_fixed_scores"))
+    partial = (F.get("embedding", F.lit(63)) > 0).alias("partial")
+    e = t.embeddings.select("vec_id", F.col("label").alias("truth"), partial, F.explode(rows).alias("r"))
+    rows = e.select("vec_id", "truth", "partial", "r.version", "r.pred")
+    subset = F.explode(F.when(F.col("partial"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("clean"))))
+    return rows.withColumn("subset", subset).drop("partial").withColumn("scheme", F.lit("A_fixed_scores"))
 
 
 VERSION_SQL = """
-vg as (select vec_id, label as truth, v, unnest(range(0, 10)) as k, unnest(list_transform(embedding[v * 10 + 1 : v * 10 + 10], lambda x: x::double)) as z0, b from embeddings,
+vg as (select vec_id, label as truth, v, embedding[64] > 0 as partial, unnest(range(0, 10)) as k, unnest(list_transform(embedding[v * 10 + 1 : v * 10 + 10], lambda x: x::double)) as z0, b from embeddings,
    (select unnest([0, 1, 2]) as v, unnest([0.3, 0.2, 0.0]::double[]) as b)),
 vo as (select *, row_number() over (partition by vec_id, v order by z0 + case when k = truth then b else 0 end desc, k) as r from vg),
-vp as (select vec_id, truth, ['original', 'subject_only', 'subject_erased'][v + 1] as version, cast(k as integer) as pred from vo where r = 1),
-vs as (select *, 'all' as subset from vp union all select *, 'clean' from vp where vec_id % 4 <> 0)"""
+vp as (select vec_id, truth, partial, ['original', 'subject_only', 'subject_erased'][v + 1] as version, cast(k as integer) as pred from vo where r = 1),
+vs as (select *, 'all' as subset from vp union all select *, 'clean' from vp where not partial)"""
 
 
 @query("variant_accuracy", f"""

@@ -8,9 +8,9 @@ from ..operators import joins as jn
 from .registry import query
 
 
-@query("enrich_left", "select o_orderkey, c_name, c_mktsegment from orders left join (select * from customer where c_custkey % 3 <> 0) on o_custkey = c_custkey")
+@query("enrich_left", "select o_orderkey, c_name, c_mktsegment from orders left join (select * from customer where c_acctbal > 2000) on o_custkey = c_custkey")
 def _(t):
-    cust = t.customer.filter("c_custkey % 3 <> 0").withColumnRenamed("c_custkey", "o_custkey")
+    cust = t.customer.filter("c_acctbal > 2000").withColumnRenamed("c_custkey", "o_custkey")
     return jn.enrich_left(t.orders.select("o_orderkey", "o_custkey"), cust, ["o_custkey"], ["c_name", "c_mktsegment"]).drop("o_custkey")
 
 
@@ -22,14 +22,14 @@ def _(t):
 
 
 @query("join_one_to_one", """
-with l as (select doc_id, quality from labels), d as (select doc_id from documents where doc_id % 7 <> 0 union all select doc_id from documents where doc_id % 50 = 1),
+with l as (select doc_id, quality from labels), d as (select doc_id from documents where lang <> 'de' union all select doc_id from documents where lang = 'es'),
 a as (select doc_id, count(*) as n_left from d group by 1), b as (select doc_id, count(*) as n_right from l group by 1)
 select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(n_left, 0) as n_left, coalesce(n_right, 0) as n_right,
  case when coalesce(n_left, 0) > 1 then 'duplicate left' when coalesce(n_right, 0) > 1 then 'duplicate right' when n_right is null then 'missing right' else 'missing left' end as problem
 from a full join b on a.doc_id = b.doc_id where coalesce(n_left, 0) <> 1 or coalesce(n_right, 0) <> 1""")
 def _(t):
-    docs = t.documents.select("doc_id")
-    left = docs.filter("doc_id % 7 <> 0").unionByName(docs.filter("doc_id % 50 = 1"))
+    docs = t.documents.select("doc_id", "lang")
+    left = docs.filter("lang <> 'de'").unionByName(docs.filter("lang = 'es'")).select("doc_id")
     return jn.one_to_one_violations(left, t.labels.select("doc_id"), "doc_id")
 
 
@@ -59,12 +59,12 @@ def _(t):
 
 
 @query("class_parent_lookup", """
-select s_suppkey, s_nationkey, case when n_nationkey % 6 = 0 then 'OVERRIDE' when n_nationkey % 4 <> 1 then r_name end as parent
+select s_suppkey, s_nationkey, case when n_name like '%2' then 'OVERRIDE' when r_name <> 'ASIA' then r_name end as parent
 from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def _(t):
-    first = t.nation.filter("n_nationkey % 4 <> 1").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+    first = t.nation.join(t.region.filter("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("parent"))
-    second = t.nation.filter("n_nationkey % 6 = 0").select(F.col("n_nationkey").alias("s_nationkey"), F.lit("OVERRIDE").alias("parent"))
+    second = t.nation.filter("n_name like '%2'").select(F.col("n_nationkey").alias("s_nationkey"), F.lit("OVERRIDE").alias("parent"))
     return jn.class_parent_lookup(t.supplier.select("s_suppkey", "s_nationkey"), "s_nationkey", first, second, "parent")
 
 
@@ -90,7 +90,7 @@ def _(t):
     return jn.best_candidate(items, titles, "code_text", "view_wanted").select("s_suppkey", "shot", "title", "n_candidates")
 
 
-@query("ranked_candidates", f"with {_MATCH} select s_suppkey, shot, title, cast(rank as integer) as rank from r")
+@query("ranked_candidates", f"with {_MATCH} select s_suppkey, shot, title, rank from r")
 def _(t):
     items, titles = _match_inputs(t)
     return jn.candidates(items, titles, "code_text", "view_wanted").select("s_suppkey", "shot", "title", "rank")
@@ -117,23 +117,23 @@ def _(t):
 
 
 @query("upsert_runs", """
-with old as (select c_custkey, c_name, c_acctbal from customer where c_custkey % 5 <> 0),
-fresh as (select c_custkey, 'new ' || c_name as c_name, case when c_custkey % 10 = 0 then null else c_acctbal + 1 end as c_acctbal from customer where c_custkey % 4 = 0 or c_custkey % 5 = 0)
+with old as (select c_custkey, c_name, c_acctbal from customer where c_mktsegment <> 'BUILDING'),
+fresh as (select c_custkey, 'new ' || c_name as c_name, case when c_mktsegment = 'MACHINERY' then null else c_acctbal + 1 end as c_acctbal from customer where c_acctbal > 4000)
 select coalesce(f.c_custkey, o.c_custkey) as c_custkey, case when f.c_custkey is not null then f.c_name else o.c_name end as c_name, case when f.c_custkey is not null then f.c_acctbal else o.c_acctbal end as c_acctbal,
  case when f.c_custkey is null then 'kept' when o.c_custkey is null then 'added' else 'replaced' end as state from old o full join fresh f on o.c_custkey = f.c_custkey""")
 def _(t):
-    c = t.customer.select("c_custkey", "c_name", "c_acctbal")
-    old = c.filter("c_custkey % 5 <> 0")
-    fresh = c.filter("c_custkey % 4 = 0 or c_custkey % 5 = 0").select(
+    cols = ["c_custkey", "c_name", "c_acctbal"]
+    old = t.customer.filter("c_mktsegment <> 'BUILDING'").select(*cols)
+    fresh = t.customer.filter("c_acctbal > 4000").select(
         "c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"),
-        F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"))
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_acctbal") + 1).alias("c_acctbal"))
     return jn.upsert(old, fresh, ["c_custkey"])
 
 
 @query("upsert_same_address", """
-select o_orderkey, case when o_orderkey % 6 <> 0 and (o_orderkey % 4 <> 0) then o_orderstatus else 'unknown' end as outcome from orders""")
+select o_orderkey, case when o_orderpriority <> '1-URGENT' and o_totalprice <= 300000 then o_orderstatus else 'unknown' end as outcome from orders""")
 def _(t):
-    prev = t.orders.filter("o_orderkey % 6 <> 0").select("o_orderkey", F.col("o_orderpriority").alias("url"), F.col("o_orderstatus").alias("outcome"))
-    url = F.when(F.col("o_orderkey") % 4 == 0, "changed").otherwise(F.col("o_orderpriority"))
+    prev = t.orders.filter("o_orderpriority <> '1-URGENT'").select("o_orderkey", F.col("o_orderpriority").alias("url"), F.col("o_orderstatus").alias("outcome"))
+    url = F.when(F.col("o_totalprice") > 300000, "changed").otherwise(F.col("o_orderpriority"))
     now = t.orders.select("o_orderkey", url.alias("url"))
     return jn.keep_outcome_if_same(prev, now, "o_orderkey", "url", ["outcome"], {"outcome": "unknown"}).select("o_orderkey", "outcome")

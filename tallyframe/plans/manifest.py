@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core.session import materialise
 from ..functions.values import recode
 from ..operators import aggregates as ag
 from ..operators import rules as ru
@@ -25,7 +26,8 @@ def curated_rows(t) -> DataFrame:
 
 
 def curated_split(t, minimum: int = 10, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    kept = ru.min_group_size(curated_rows(t), "class", "o_orderkey", minimum)
+    rows = materialise(curated_rows(t))  # read by the class sizes, the filter and the split
+    kept = ru.min_group_size(rows, "class", "o_orderkey", minimum)
     return sa.stratified_split(kept, "class", "o_orderkey", fraction, seed)
 
 

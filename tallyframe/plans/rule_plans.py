@@ -82,8 +82,11 @@ def _(t):
 
 
 @query("suffix_record_check", """
-with c as (select l_suppkey || '-' || l_partkey as code, count(distinct l_orderkey) as n_records, count(*) as n_items from lineitem group by 1)
-select code, n_records, n_items, case when n_records > 1 then 'several records' when n_items > 1 then 'one record, several items' else 'single item' end as verdict from c""")
+with r as (select l_partkey, 'C' || l_orderkey || '_' || l_linenumber || case l_returnflag when 'A' then '-p1' when 'R' then '-D' || l_linenumber else '' end as raw from lineitem),
+c as (select regexp_replace(raw, '-[hdpl][0-9]+$', '', 'i') as code, raw, l_partkey from r),
+g as (select code, count(distinct l_partkey) as n_records, count(*) as n_items, count(*) filter (raw <> code) as n_suffixed from c group by 1)
+select *, case when n_records > 1 and n_suffixed > 0 then 'one record per view' when n_records = 1 then 'one record with all items' else 'inconclusive' end as verdict from g""")
 def _(t):
-    code = F.concat_ws("-", "l_suppkey", "l_partkey")
-    return ru.suffix_record_check(t.lineitem.select("l_suppkey", "l_partkey", "l_orderkey"), code, "l_orderkey")
+    suffix = F.when(F.col("l_returnflag") == "A", "-p1").when(F.col("l_returnflag") == "R", F.concat(F.lit("-D"), F.col("l_linenumber").cast("string"))).otherwise("")
+    raw = F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), suffix)
+    return ru.suffix_record_check(t.lineitem.select("l_partkey", raw.alias("raw")), "raw", "l_partkey")

@@ -50,10 +50,10 @@ def _(t):
 
 
 @query("key_set_diff", """
-with a as (select distinct o_orderkey as k from orders where o_orderkey % 5 <> 0), b as (select distinct l_orderkey as k from lineitem)
+with a as (select distinct o_orderkey as k from orders where o_orderstatus <> 'P'), b as (select distinct l_orderkey as k from lineitem)
 select k as key, 'left only' as side from a where k not in (select k from b) union all select k, 'right only' from b where k not in (select k from a)""")
 def _(t):
-    a = t.orders.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("key"))
+    a = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"))
     return sa.key_set_diff(a, t.lineitem.select(F.col("l_orderkey").alias("key")), "key")
 
 
@@ -66,7 +66,7 @@ def _(t):
 def _altered(t):
     o = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
     key = F.col("o_orderkey")
-    return o, o.filter(key % 17 != 0).select(
+    return o, t.orders.filter("o_orderpriority <> '3-MEDIUM'").select(
         "o_orderkey",
         F.when(key % 5 == 0, F.col("o_totalprice") + 0.00001).when(key % 7 == 0, F.col("o_totalprice") + 2).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
         F.when(key % 11 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
@@ -75,7 +75,7 @@ def _altered(t):
 _ALTERED = """
 a as (select o_orderkey, o_totalprice, o_orderstatus from orders),
 b as (select o_orderkey, case when o_orderkey % 5 = 0 then o_totalprice + 0.00001::double when o_orderkey % 7 = 0 then o_totalprice + 2 else o_totalprice end as o_totalprice,
-  case when o_orderkey % 11 <> 0 then o_orderstatus end as o_orderstatus from orders where o_orderkey % 17 <> 0),
+  case when o_orderkey % 11 <> 0 then o_orderstatus end as o_orderstatus from orders where o_orderpriority <> '3-MEDIUM'),
 j as (select a.o_orderkey, a.o_totalprice as ap, b.o_totalprice as bp, a.o_orderstatus as a_s, b.o_orderstatus as b_s, b.o_orderkey is null as gone from a left join b using (o_orderkey)),
 d as (select o_orderkey, 'o_totalprice' as "column", round_even(abs(ap - bp), 6) as delta from j where not gone and abs(ap - bp) > 0.001
  union all select o_orderkey, 'o_orderstatus', null from j where not gone and a_s is distinct from b_s union all select o_orderkey, '(row)', null from j where gone)"""

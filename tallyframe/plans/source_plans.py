@@ -108,9 +108,9 @@ def _(t):
 
 
 @query("resume_incremental", """
-select o_orderkey, case when o_orderstatus = 'F' then 'carried' else 'pending' end as state from orders where o_orderkey % 10 <> 3""")
+select o_orderkey, case when o_orderstatus = 'F' then 'carried' else 'pending' end as state from orders where o_orderpriority <> '5-LOW'""")
 def _(t):
-    inputs = t.orders.filter("o_orderkey % 10 <> 3").select("o_orderkey")
+    inputs = t.orders.filter("o_orderpriority <> '5-LOW'").select("o_orderkey")
     done = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey")
     pending, carried = sk.resume_incremental(inputs, done, ["o_orderkey"])
     return pending.withColumn("state", F.lit("pending")).unionByName(carried.withColumn("state", F.lit("carried")))
