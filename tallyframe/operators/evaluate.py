@@ -92,9 +92,8 @@ def calibration_report(df: DataFrame, before: str, after: str, truth: str, bins:
     s = r.agg(F.count(F.lit(1)).alias("n"), F.avg("cb").alias("mean_max_before"), F.avg("ca").alias("mean_max_after"),
               F.avg((F.col("cb") < 0.5).cast("double")).alias("below_half_before"), F.avg((F.col("ca") < 0.5).cast("double")).alias("below_half_after"),
               F.count_if("changed").alias("top1_changed"), F.count_if("set_changed").alias("top3_set_changed"))
-    eb = expected_calibration_error(r, "cb", "hb", bins).withColumnRenamed("ece", "ece_before").withColumn("_one", F.lit(1))
-    ea = expected_calibration_error(r, "ca", "ha", bins).withColumnRenamed("ece", "ece_after").withColumn("_one", F.lit(1))
-    return s.withColumn("_one", F.lit(1)).join(eb, "_one").join(ea, "_one").drop("_one")
+    s = s.withColumn("ece_before", expected_calibration_error(r, "cb", "hb", bins).scalar())
+    return s.withColumn("ece_after", expected_calibration_error(r, "ca", "ha", bins).scalar())
 
 
 def confusion_counts(df: DataFrame, true: str, pred: str, labels: list) -> DataFrame:
@@ -122,8 +121,8 @@ def class_scores(df: DataFrame, true: str, pred: str, by: list[str] | None = Non
         name = labels.columns[0]
         if by:
             combos = cells.select(*by).distinct()
-            arr = labels.agg(F.collect_list(name).alias("_l")).withColumn("_one", F.lit(1))  # the label list
-            combos = combos.withColumn("_one", F.lit(1)).join(arr, "_one").select(*by, F.explode("_l").alias("cls"))
+            listed = labels.agg(F.collect_list(name)).scalar()  # the label list
+            combos = combos.select(*by, F.explode(listed).alias("cls"))
         else:
             combos = labels.select(F.col(name).alias("cls"))
         per = combos.join(per, [*by, "cls"], "left")
@@ -144,7 +143,7 @@ def accuracy_macro_f1(df: DataFrame, true: str, pred: str, by: list[str] | None
     base = df.groupBy(*by).agg(*cols)
     if by:
         return base.join(per, by)
-    return base.withColumn("_one", F.lit(1)).join(per.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return base.withColumn("macro_f1", per.scalar())
 
 
 def errors_table(df: DataFrame, key: str, truth: str, probs: str, meta: DataFrame | None = None) -> DataFrame:

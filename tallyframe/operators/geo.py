@@ -94,13 +94,14 @@ def evidence_rows(runs: DataFrame, top3: DataFrame, receipts: DataFrame, setting
     """For each run: its first guesses, receipts, numbers and a formatted sentence.
 
     ``top3``: key, ``top3`` array of (label, score). ``receipts``: key, rank, neighbour, label,
-    similarity. A run whose id has no evidence gives no row.
+    similarity. ``settings`` is one row. A run whose id has no evidence gives no row.
     """
     entry = F.struct("rank", F.format_string("%s (%s, cosine %.3f)", F.col("neighbour").cast("string"), F.col("label").cast("string"), F.col("similarity")).alias("t"))
     r = receipts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"]), "; ").alias("receipts"))  # k entries
     guess = F.array_join(F.transform("top3", lambda s: F.format_string("%s %.3f", s["label"].cast("string"), s["score"])), ", ")
     out = runs.join(top3.select(key, guess.alias("top3")), key).join(r, key)
-    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(settings.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row
+    names = settings.columns
+    out = out.withColumn("_s", settings.select(F.struct(*names)).scalar()).select("*", *[F.col(f"_s.{c}").alias(c) for c in names]).drop("_s")
     text = F.format_string(
         "%s labelled %s; target %s: P = %.3f over %d masks, baseline %.3f; first guesses %s; receipts %s",
         F.col(key).cast("string"), F.col("truth").cast("string"), F.col("target").cast("string"), F.col("p_full"), F.col("n_masks"),

@@ -22,8 +22,8 @@ from .sampling import stratified_folds
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Add ``_w`` = n / (K * n_class), so that every class weighs the same and weights sum to n."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nk"))
-    total = c.agg(F.sum("_nk").alias("_n"), F.count(F.lit(1)).alias("_k")).withColumn("_one", F.lit(1))
-    w = c.withColumn("_one", F.lit(1)).join(total, "_one").select(label, (F.col("_n") / (F.col("_k") * F.col("_nk"))).alias("_w"))
+    mean = c.agg(F.sum("_nk") / F.count(F.lit(1)))  # n / K
+    w = c.select(label, (mean.scalar() / F.col("_nk")).alias("_w"))
     return join_small(df, w, [label])
 
 
@@ -121,8 +121,7 @@ def ridge_cv_r2(df: DataFrame, key: str, vec: str, target: str, alphas: list[flo
     s = scored.groupBy("alpha").agg(
         F.sum((F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))).alias("_res"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_tot"), F.count(F.lit(1)).alias("n"))
     s = s.select("alpha", "n", (1 - F.col("_res") / F.col("_tot")).alias("r2"))
-    best = s.agg(F.max_by("alpha", "r2").alias("_best")).withColumn("_one", F.lit(1))
-    return s.withColumn("_one", F.lit(1)).join(best, "_one").select("alpha", "n", "r2", (F.col("alpha") == F.col("_best")).alias("best"))
+    return s.withColumn("best", F.col("alpha") == s.agg(F.max_by("alpha", "r2")).scalar())
 
 
 def platt_fit(df: DataFrame, scores: str, truth: str, steps: int = 25) -> dict:

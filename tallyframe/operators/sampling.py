@@ -147,9 +147,8 @@ def quota_sample(df: DataFrame, cls: str, id_col: str, quotas: list[tuple[Column
     # the number of extras depends on how many were picked: number the candidates and compare
     left = base.join(picked.select(id_col), id_col, "left_anti").orderBy("_h", id_col).limit(total)
     left = left.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", id_col)))  # at most total rows
-    have = picked.agg(F.count(F.lit(1)).alias("_have")).withColumn("_one", F.lit(1))
-    extras = left.withColumn("_one", F.lit(1)).join(F.broadcast(have), "_one")  # one row
-    extras = extras.filter(F.col("_k") <= F.lit(total) - F.col("_have")).select(cls, id_col, F.lit("extra").alias("why"))
+    have = picked.agg(F.count(F.lit(1)))
+    extras = left.filter(F.col("_k") <= F.lit(total) - have.scalar()).select(cls, id_col, F.lit("extra").alias("why"))
     return picked.unionByName(extras)
 
 

@@ -19,16 +19,16 @@ def quantile_bands(df: DataFrame, value: str, bands: int = 4, label: str = "band
     Labels read ``B1 900-925`` with edges rounded half to even. The edges are one row.
     """
     probs = [i / bands for i in range(bands + 1)]
-    q = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], [value], probs)
-    edges = q.groupBy("_all").agg(F.transform(F.sort_array(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"]).alias("_e"))
-    out = df.withColumn("_all", F.lit(1)).join(F.broadcast(edges), "_all", "left")
+    q = exact_quantiles(df, [], [value], probs)
+    edges = q.agg(F.transform(F.sort_array(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"]).alias("_e"))
+    out = df.withColumn("_e", edges.scalar())
     v, e = F.col(value), F.col("_e")
     name = None
     for i in range(bands):
         text = F.concat(F.lit(f"B{i + 1} "), F.bround(e[i], 0).cast("long").cast("string"), F.lit("-"),
                         F.bround(e[i + 1], 0).cast("long").cast("string"))
         name = F.when(v <= e[i + 1], text) if name is None else name.when(v <= e[i + 1], text)
-    return out.withColumn(label, name).drop("_all", "_e")
+    return out.withColumn(label, name).drop("_e")
 
 
 def fixed_bands(value: Column | str, edges: list[float]) -> Column:
@@ -181,13 +181,13 @@ def permuted_eta(df: DataFrame, value: str, cls: str, id_col: str, replicates: i
     upto = Window.partitionBy(F.lit(1)).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)  # one row per class
     bounds = sizes.select("_c", F.sum("_n").over(upto).alias("_to")).agg(
         F.sort_array(F.collect_list(F.struct("_to", "_c"))).alias("_bounds"))
-    whole = base.agg(F.avg("_v").alias("_mean"), (F.var_pop("_v") * F.count(F.lit(1))).alias("_total"))
-    consts = bounds.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
+    whole = base.agg(F.struct(F.avg("_v").alias("_mean"), (F.var_pop("_v") * F.count(F.lit(1))).alias("_total")).alias("_w"))
     reps = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     ranked = hash_rank(reps, ["replicate"], id_col, seed, prefix=2, hash_on=["replicate", id_col])
-    ranked = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(consts), "_one")  # one row
+    ranked = ranked.withColumn("_bounds", bounds.scalar())
     at = F.size(F.filter("_bounds", lambda b: b["_to"] < F.col("rank")))
-    cells = ranked.groupBy("replicate", at.alias("_k"), "_mean", "_total").agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"))
+    cells = ranked.groupBy("replicate", at.alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"))
+    cells = cells.withColumn("_w", whole.scalar()).select("*", "_w._mean", "_w._total")
     gap = F.col("_m") - F.col("_mean")
     return cells.groupBy("replicate").agg((F.sum(F.col("_n") * gap * gap) / F.max("_total")).alias("statistic"))
 
@@ -202,7 +202,7 @@ def permuted_cramers(df: DataFrame, column: str, cls: str, replicates: int, seed
     base = df.filter(F.col(cls).isNotNull() & F.col(column).isNotNull())
     r = base.groupBy(column).agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list("n")).alias("rows"))
     c = base.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).agg(F.sort_array(F.collect_list("n")).alias("cols"))
-    margins = r.withColumn("_one", F.lit(1)).join(c.withColumn("_one", F.lit(1)), "_one")
+    margins = r.withColumn("cols", c.scalar())
     jobs = margins.select("rows", "cols", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).repartition(
         min(replicates, 64), "replicate")
 
@@ -230,11 +230,11 @@ def permuted_cramers(df: DataFrame, column: str, cls: str, replicates: int, seed
 def permutation_summary(null: DataFrame, observed: DataFrame) -> DataFrame:
     """Null mean, 99th percentile and p = (1 + #{null >= observed}) / (N + 1). ``observed`` is one
     row with ``value``; ``null`` has one row per replicate."""
-    both = null.withColumn("_one", F.lit(1)).join(F.broadcast(observed.select("value", F.lit(1).alias("_one"))), "_one")
-    return both.groupBy("_one").agg(
+    both = null.withColumn("value", observed.select("value").scalar())
+    return both.agg(
         F.max("value").alias("value"), F.avg("statistic").alias("null_mean"), F.percentile("statistic", 0.99).alias("null_p99"),
         ((1 + F.count_if(F.col("statistic") >= F.col("value"))) / (F.count(F.lit(1)) + 1)).alias("perm_p"),
-        F.count(F.lit(1)).alias("replicates")).drop("_one")
+        F.count(F.lit(1)).alias("replicates"))
 
 
 def bootstrap_ci(df: DataFrame, true: str, pred: str, replicates: int, seed: int, by: list[str] | None = None, level: float = 0.95) -> DataFrame:

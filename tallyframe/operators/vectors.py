@@ -56,7 +56,7 @@ def paired(a: DataFrame, b: DataFrame, key: str, vec: str) -> DataFrame:
 def paired_cosine(a: DataFrame, b: DataFrame, key: str, vec: str, worst: int = 5) -> DataFrame:
     """Median, minimum, first percentile and the worst ids of the cosine of two versions: (what, id, value)."""
     pairs = paired(a, b, key, vec).select(key, "cosine")
-    q = exact_quantiles(pairs.withColumn("_all", F.lit(1)), ["_all"], ["cosine"], [0.0, 0.01, 0.5])
+    q = exact_quantiles(pairs, [], ["cosine"], [0.0, 0.01, 0.5])
     what = F.when(F.col("prob") == 0.0, "min").when(F.col("prob") == 0.01, "p1").otherwise("median")
     low = pairs.orderBy("cosine", key).limit(worst)
     return q.select(what.alias("what"), F.lit(None).cast("long").alias("id"), "value").unionByName(
@@ -345,5 +345,4 @@ def occlusion_summary(imp: DataFrame, key: str) -> DataFrame:
     s = imp.withColumn("baseline", mean)
     s = s.withColumn("dev_max", F.array_max(F.transform("importance", lambda x: F.abs(x - F.col("baseline")))))
     s = s.select(key, "baseline", F.array_min("importance").alias("imp_min"), F.array_max("importance").alias("imp_max"), "dev_max", "p_mean", "p_max")
-    shared = s.agg(F.max("dev_max").alias("shared_scale")).withColumn("_one", F.lit(1))
-    return s.withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one").drop("_one")  # one row
+    return s.withColumn("shared_scale", s.agg(F.max("dev_max")).scalar())

@@ -52,9 +52,8 @@ def group_deviation(df: DataFrame, group: str, value: str, keep: list[str]) -> D
     gap = F.abs(F.col(value) - F.col("median"))
     dev = F.when(F.col("sd") > 0, gap / F.col("sd")).when((F.col("sd") == 0) & (gap > 0), F.lit(float("inf")))
     rows = rows.withColumn("deviation", dev)
-    middle = exact_quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], ["deviation"], [0.5]).select("_all", F.col("value").alias("_mid"))
-    out = rows.withColumn("_all", F.lit(1)).join(F.broadcast(middle), "_all", "left")  # one row
-    return out.withColumn("atypical", F.coalesce(F.col("deviation") > F.col("_mid"), F.lit(False))).drop("_all", "_mid", "median", "sd")
+    middle = exact_quantiles(rows, [], ["deviation"], [0.5]).select("value").scalar()
+    return rows.withColumn("atypical", F.coalesce(F.col("deviation") > middle, F.lit(False))).drop("median", "sd")
 
 
 def below_group_median(df: DataFrame, group: str, value: str) -> DataFrame:

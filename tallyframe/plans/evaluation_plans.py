@@ -182,11 +182,11 @@ def _(t):
     p = version_predictions(t)
     m = ev.accuracy_macro_f1(p, "truth", "pred", by).join(st.bootstrap_ci(p, "truth", "pred", 500, 42, by), by)
     c = st.chance_levels(t.embeddings, "label")
-    n = t.embeddings.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    chance = c.select(F.lit(1).alias("_one"), F.inline(F.array(
+    n = t.embeddings.agg(F.count(F.lit(1)).alias("n"))
+    chance = c.select(F.inline(F.array(
         F.struct(F.lit("chance").alias("scheme"), F.lit("").alias("subset"), F.lit("majority").alias("version"), F.col("majority_accuracy").alias("accuracy"), F.col("majority_macro_f1").alias("macro_f1")),
         F.struct(F.lit("chance").alias("scheme"), F.lit("").alias("subset"), F.lit("class shares").alias("version"), F.col("random_accuracy").alias("accuracy"), F.col("random_macro_f1").alias("macro_f1")))))
-    return m.unionByName(chance.join(n, "_one").drop("_one"), allowMissingColumns=True)
+    return m.unionByName(chance.withColumn("n", n.scalar()), allowMissingColumns=True)
 
 
 @query("variant_breakdown", f"""

@@ -104,7 +104,7 @@ def _(t):
     files = back.groupBy(F.input_file_name().alias("f")).agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"), F.count(F.lit(1)).alias("n"))
     before = F.lag("hi").over(Window.partitionBy(F.lit(1)).orderBy("f"))  # one row per file
     overlap = files.withColumn("before", before).agg(F.every(F.coalesce(F.col("lo") > F.col("before"), F.lit(True))).alias("in_order"))
-    return back.withColumn("_one", F.lit(1)).join(F.broadcast(overlap.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return back.withColumn("in_order", overlap.scalar())
 
 
 @query("resume_incremental", """
