@@ -138,20 +138,35 @@ def hash_head(df: DataFrame, groups: Sequence[str], id_col: str, seed: int, take
     return sure.unionByName(edge).drop("_h", "_piece", "_left")
 
 
+HOT_ROWS = 1_000_000  # a key with more rows than this is cut into chunks
+
+
+def hot_chunks(df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int) -> DataFrame:
+    """Add ``_chunk``: ``chunk`` for keys with more than ``hot_rows`` rows, 0 for all others.
+
+    Rows without a key are left out. There are at most (rows / hot_rows) hot keys.
+    """
+    df = df.dropna(subset=list(keys))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    df = join_small(df, hot.select(*keys, F.lit(True).alias("_hot")), list(keys), "left")
+    return df.withColumn("_chunk", F.when(F.col("_hot"), chunk.cast("long")).otherwise(F.lit(0).cast("long"))).drop("_hot")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     chunk: Column,
     specs: dict[str, tuple[str, Column, bool]],
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Running aggregates per key that split a hot key by ``chunk`` (monotone in the order).
+    """Running aggregates per key that split a hot key by ``chunk``, a number monotone in the order.
 
     ``specs``: name -> (``sum`` | ``max``, expression, include the current row). Each chunk is
     scanned on its own and the result of the chunks before it is carried in.
     """
     keys = list(keys)
-    df = df.withColumn("_chunk", chunk)
+    df = hot_chunks(df, keys, chunk, hot_rows)
     fold = {"sum": F.sum, "max": F.max}
     for name, (_, expr, _) in specs.items():
         df = df.withColumn(f"_x_{name}", expr)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..core.scale import exact_quantiles, group_rank, hash_order, join_small, range_rank, running
+from ..core.scale import HOT_ROWS, exact_quantiles, group_rank, hash_order, hot_chunks, join_small, range_rank, running
 
 
 def pick_one_per_key(df: DataFrame, key: str, view: str, priority: list[str], order: list[Column]) -> DataFrame:
@@ -72,14 +72,14 @@ def rank_deciles(df: DataFrame, order: list[Column], keep: list[str], buckets: i
 
 
 def pause_sessions(df: DataFrame, key: list[str], start: Column, stop: Column, gap_s: float = fixed.PAUSE_GAP_S,
-                   chunk_s: int = 86_400) -> DataFrame:
+                   chunk_s: int = 3_600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Active seconds, sessions and paused seconds per key from overlapping spans.
 
     ``start`` and ``stop`` are seconds. The gap of a span is measured from the latest end seen so
     far; that running maximum is taken per time chunk, so a key with many spans is split.
     """
     spans = df.select(*key, start.alias("start"), stop.alias("stop"))
-    spans = running(spans, key, ["start", "stop"], F.floor(F.col("start") / chunk_s), {"_seen": ("max", F.col("stop"), False)})
+    spans = running(spans, key, ["start", "stop"], F.floor(F.col("start") / chunk_s), {"_seen": ("max", F.col("stop"), False)}, hot_rows)
     gap = F.col("start") - F.col("_seen")
     pause = F.when(gap > gap_s, gap)
     out = spans.groupBy(*key).agg(
@@ -89,22 +89,30 @@ def pause_sessions(df: DataFrame, key: list[str], start: Column, stop: Column, g
                       (F.col("_n") + 1).alias("sessions"), "paused_s")
 
 
-def failure_streaks(df: DataFrame, key: list[str], order: list[str], chunk: Column, blocked: Column) -> DataFrame:
+def failure_streaks(df: DataFrame, key: list[str], order: list[str], chunk: Column, blocked: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``position`` and ``streak``: length of the run of blocked attempts that ends at the row.
 
-    The streak is the position minus the position of the last attempt that was not blocked; both
-    come from running aggregates cut into chunks.
+    The streak is the position minus the position of the last attempt that was not blocked. Rows are
+    numbered inside time chunks of a key; sizes and last resets of the chunks before are carried in.
     """
-    rows = running(df.withColumn("_b", blocked), key, order, chunk, {"position": ("sum", F.lit(1), True)})
-    last_reset = F.when(~F.col("_b"), F.col("position"))
-    rows = running(rows, key, order, chunk, {"_reset": ("max", last_reset, True)})
-    return rows.withColumn("streak", F.col("position") - F.coalesce(F.col("_reset"), F.lit(0))).drop("_b", "_reset")
+    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = hot_chunks(df, key, chunk, hot_rows).withColumn("_free", ~F.coalesce(blocked, F.lit(False)))
+    rows = rows.withColumn("_i", F.row_number().over(w)).withColumn("_r", F.max(F.when(F.col("_free"), F.col("_i"))).over(upto))
+    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    cells = rows.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max("_r").alias("_last"))
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    cells = cells.withColumn("_reset", F.max(F.col("_before") + F.col("_last")).over(earlier))
+    rows = rows.join(cells.select(*key, "_chunk", "_before", "_reset"), [*key, "_chunk"])
+    reset = F.coalesce(F.greatest(F.col("_before") + F.col("_r"), F.col("_reset")), F.lit(0))
+    rows = rows.withColumn("position", F.col("_before") + F.col("_i"))
+    return rows.withColumn("streak", F.col("position") - reset).drop("_chunk", "_free", "_i", "_r", "_before", "_reset")
 
 
 def failure_streak_stop(df: DataFrame, key: list[str], order: list[str], chunk: Column, blocked: Column,
-                        limit: int = fixed.STREAK_STOP) -> DataFrame:
+                        limit: int = fixed.STREAK_STOP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """First row per key where the streak of blocked attempts reaches ``limit``."""
-    rows = failure_streaks(df, key, order, chunk, blocked).filter(F.col("streak") == limit)
+    rows = failure_streaks(df, key, order, chunk, blocked, hot_rows).filter(F.col("streak") == limit)
     return rows.groupBy(*key).agg(F.min("position").alias("stop_position"))
 
 

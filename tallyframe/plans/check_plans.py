@@ -44,5 +44,5 @@ select user_id, event_id, done, round_even(elapsed, 3) as elapsed_s, round_even(
 def _(t):
     ev = t.events.select("user_id", "ts", "event_id")
     totals = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    out = ck.progress_rate(ev.join(totals, "user_id"), ["user_id"], ["ts", "event_id"], seconds("ts"), F.to_date("ts"), F.col("total"))
+    out = ck.progress_rate(ev.join(totals, "user_id"), ["user_id"], ["ts", "event_id"], seconds("ts"), F.floor(seconds("ts") / 3600), F.col("total"))
     return out.select("user_id", "event_id", "done", *[r6(c, 3).alias(c) for c in ("elapsed_s", "step_s", "s_per_row", "eta_s")])

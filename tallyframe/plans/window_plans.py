@@ -85,8 +85,8 @@ r as (select *, max(case when not b then position else 0 end) over (partition by
 select user_id, min(position) as stop_position from r where position - reset = 3 group by 1""")
 def _(t):
     ev = t.events.select("user_id", "event_id", "ts", "event_type")
-    day = F.to_date(F.col("ts"))
-    return wn.failure_streak_stop(ev, ["user_id"], ["ts", "event_id"], day, F.expr(_BLOCKED), limit=3)
+    hour = F.floor(seconds("ts") / 3600)
+    return wn.failure_streak_stop(ev, ["user_id"], ["ts", "event_id"], hour, F.expr(_BLOCKED), limit=3)
 
 
 @query("attempt_sequence", """

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..core.scale import join_small
 
 
 def accept(times: np.ndarray, recent: deque, limit: int, window_us: int) -> np.ndarray:
@@ -42,6 +43,7 @@ def rate_limit_flags(df: DataFrame, key: str, at_us: str, id_col: str, limit: in
     ``limit`` rows together, all its rows are accepted without looking at any of them. Only runs of
     busy buckets are folded in order, each run on its own, starting from the (accepted) rows of the
     quiet bucket before it. A run is read as a stream of Arrow batches and never held as a whole.
+    Inside a run each acceptance depends on the ones before it, so a run is one sequential pass.
     """
     window_us = window_s * 1_000_000
     rows = df.select(key, id_col, F.col(at_us).alias("_t")).withColumn("_b", F.floor(F.col("_t") / window_us))
@@ -55,9 +57,9 @@ def rate_limit_flags(df: DataFrame, key: str, at_us: str, id_col: str, limit: in
     # a quiet bucket right before a busy one is the history of that run
     leads = (F.lead("_b").over(per) == F.col("_b") + 1) & (F.lead("_start").over(per) == 1)
     b = b.withColumn("_leads", F.coalesce(~F.col("_busy") & leads, F.lit(False)))
-    b = b.select(key, "_b", "_busy", "_leads", F.when(F.col("_leads"), F.col("_run") + 1).otherwise(F.col("_run")).alias("_run"))
-    rows = rows.join(b, [key, "_b"])
-    quiet = rows.filter(~F.col("_busy")).select(key, id_col, F.lit(True).alias("accepted"))
+    b = b.filter("_busy or _leads").select(key, "_b", "_busy", F.when(F.col("_leads"), F.col("_run") + 1).otherwise(F.col("_run")).alias("_run"))
+    rows = join_small(rows, b, [key, "_b"], "left")
+    quiet = rows.filter(~F.coalesce(F.col("_busy"), F.lit(False))).select(key, id_col, F.lit(True).alias("accepted"))
     kinds = dict(df.dtypes)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +72,7 @@ def rate_limit_flags(df: DataFrame, key: str, at_us: str, id_col: str, limit: in
             yield out.filter(pa.array(busy))
 
     ordered = (
-        rows.filter("_busy or _leads").select(key, "_run", "_t", id_col, "_busy")
+        rows.filter("_run is not null").select(key, "_run", "_t", id_col, "_busy")
         .repartition(key, "_run").sortWithinPartitions(key, "_run", "_t", id_col)
     )
     folded = ordered.groupBy(key, "_run").applyInArrow(fold, f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, accepted boolean")

@@ -109,7 +109,7 @@ def test_ranks_do_not_depend_on_partitions(frame):
 def test_running_equals_a_loop(frame, chunk):
     pdf, df = frame
     out = scale.running(df.select("id", "key", "t"), ["key"], ["t", "id"], F.floor(F.col("t") / chunk), {
-        "n": ("sum", F.lit(1), True), "seen": ("max", F.col("t"), False)}).collect()
+        "n": ("sum", F.lit(1), True), "seen": ("max", F.col("t"), False)}, hot_rows=100).collect()
     got = {r["id"]: (r["n"], r["seen"]) for r in out}
     for _, g in pdf.sort_values(["t", "id"]).groupby("key"):
         last = None
@@ -120,7 +120,7 @@ def test_running_equals_a_loop(frame, chunk):
 
 def test_failure_streaks_equal_a_loop(frame):
     pdf, df = frame
-    out = windows.failure_streaks(df.select("id", "key", "t"), ["key"], ["t", "id"], F.floor(F.col("t") / 5000), F.col("id") % 3 != 0).collect()
+    out = windows.failure_streaks(df.select("id", "key", "t"), ["key"], ["t", "id"], F.floor(F.col("t") / 5000), F.col("id") % 3 != 0, hot_rows=100).collect()
     got = {r["id"]: r["streak"] for r in out}
     for _, g in pdf.sort_values(["t", "id"]).groupby("key"):
         run = 0
@@ -131,7 +131,7 @@ def test_failure_streaks_equal_a_loop(frame):
 
 def test_pause_sessions_equal_a_loop(frame):
     pdf, df = frame
-    out = windows.pause_sessions(df, ["key"], F.col("t").cast("double"), (F.col("t") + F.col("id") % 900).cast("double"), gap_s=700, chunk_s=3000).collect()
+    out = windows.pause_sessions(df, ["key"], F.col("t").cast("double"), (F.col("t") + F.col("id") % 900).cast("double"), gap_s=700, chunk_s=3000, hot_rows=100).collect()
     got = {r["key"]: (r["active_s"], r["sessions"], r["paused_s"]) for r in out}
     for key, g in pdf.groupby("key"):
         spans = sorted((float(t), float(t + i % 900)) for t, i in zip(g["t"], g["id"]))
