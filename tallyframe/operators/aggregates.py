@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..core.scale import exact_quantiles, group_medians_wide, join_small
-from ..functions.values import recode
+from ..functions.values import fixed_text, recode
 
 
 def facet_counts(df: DataFrame, key: str, names: DataFrame | None = None, n: str = "n") -> DataFrame:
@@ -263,8 +263,11 @@ def failure_rates(df: DataFrame, by: Column, failed: Column, only_failed: bool =
 
 def kept_reliability(scores: DataFrame, n: str = "n_test", f1: str = "f1") -> DataFrame:
     """Reliability label per class: enough tests and a high enough score, else the reason."""
+    # two decimals can only tie at eighths, which are shown rounded up
+    eighth = F.col(f1) * 8 == F.floor(F.col(f1) * 8)
+    shown = fixed_text(F.when(eighth, F.round(f1, 2)).otherwise(F.col(f1)), 2)
     label = (F.when(F.col(n) < fixed.RELIABLE_MIN_TESTS, F.format_string("low (%d tests)", F.col(n)))
-             .when(F.col(f1) < fixed.RELIABLE_MIN_F1, F.concat(F.lit("low (F1 "), F.format_number(f1, 2), F.lit(")"))).otherwise("high"))
+             .when(F.col(f1) < fixed.RELIABLE_MIN_F1, F.concat(F.lit("low (F1 "), shown, F.lit(")"))).otherwise("high"))
     return scores.withColumn("reliability", label).withColumn("is_low", F.col("reliability") != "high")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..core.scale import exact_quantiles
+from ..functions.values import fixed_text
 from .windows import hash_first
 
 
@@ -96,16 +97,16 @@ def evidence_rows(runs: DataFrame, top3: DataFrame, receipts: DataFrame, setting
     ``top3``: key, ``top3`` array of (label, score). ``receipts``: key, rank, neighbour, label,
     similarity. ``settings`` is one row. A run whose id has no evidence gives no row.
     """
-    entry = F.struct("rank", F.format_string("%s (%s, cosine %.3f)", F.col("neighbour").cast("string"), F.col("label").cast("string"), F.col("similarity")).alias("t"))
+    entry = F.struct("rank", F.format_string("%s (%s, cosine %s)", F.col("neighbour").cast("string"), F.col("label").cast("string"), fixed_text("similarity", 3)).alias("t"))
     r = receipts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"]), "; ").alias("receipts"))  # k entries
-    guess = F.array_join(F.transform("top3", lambda s: F.format_string("%s %.3f", s["label"].cast("string"), s["score"])), ", ")
+    guess = F.array_join(F.transform("top3", lambda s: F.format_string("%s %s", s["label"].cast("string"), fixed_text(s["score"], 3))), ", ")
     out = runs.join(top3.select(key, guess.alias("top3")), key).join(r, key)
     names = settings.columns
     out = out.withColumn("_s", settings.select(F.struct(*names)).scalar()).select("*", *[F.col(f"_s.{c}").alias(c) for c in names]).drop("_s")
     text = F.format_string(
-        "%s labelled %s; target %s: P = %.3f over %d masks, baseline %.3f; first guesses %s; receipts %s",
-        F.col(key).cast("string"), F.col("truth").cast("string"), F.col("target").cast("string"), F.col("p_full"), F.col("n_masks"),
-        F.col("baseline"), F.col("top3"), F.col("receipts"))
+        "%s labelled %s; target %s: P = %s over %d masks, baseline %s; first guesses %s; receipts %s",
+        F.col(key).cast("string"), F.col("truth").cast("string"), F.col("target").cast("string"), fixed_text("p_full", 3), F.col("n_masks"),
+        fixed_text("baseline", 3), F.col("top3"), F.col("receipts"))
     return out.withColumn("sentence", text)
 
 

@@ -130,7 +130,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: in
                 query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k most similar corpus rows of every query: (query_id, neighbour_id, similarity, rank).
 
-    Exact; the query itself is excluded and ties go to the lower id. A query set of checked small
+    Exact; ids are bigint, the query itself is excluded and ties go to the lower id. A query set of checked small
     size travels to the tasks, and the corpus is scanned in place without a shuffle. A larger one
     is cut into blocks: every (query block, corpus block) pair is one task that returns k rows per
     query, so no pair of rows is ever emitted. ``metric`` is cosine or euclidean (negative distance).

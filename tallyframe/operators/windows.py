@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..core.scale import HOT_ROWS, exact_quantiles, group_rank, hash_order, hot_chunks, join_small, range_rank, running
+from ..core.scale import HOT_ROWS, exact_quantiles, group_rank, hash_head, hash_order, hot_chunks, join_small, range_rank, running
+
+
+def _group_limit(df: DataFrame) -> int:
+    """Largest n for which ``row_number() <= n`` is applied before the shuffle as well."""
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
 
 def pick_one_per_key(df: DataFrame, key: str, view: str, priority: list[str], order: list[Column]) -> DataFrame:
@@ -28,9 +33,11 @@ def latest_per_key(df: DataFrame, key: list[str], order: list[str], columns: lis
 
 
 def first_n_per_group(df: DataFrame, group: str, order: list[Column | str], n: int) -> DataFrame:
-    """First n rows per group; n of 0 or less keeps all of them."""
+    """First n rows per group; n of 0 or less keeps all of them. ``order`` is total."""
     if n <= 0:
         return df
+    if n > _group_limit(df):
+        return group_rank(df, [group], order).filter(F.col("rank") <= n).drop("rank")
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
@@ -163,5 +170,8 @@ def hash_first(df: DataFrame, group: str | None, id_col: str, n: int, seed: int)
         top = df.withColumn("_h", key).orderBy("_h", id_col).limit(n)
         w = Window.partitionBy(F.lit(1)).orderBy("_h", id_col)  # n rows
         return top.withColumn("k", F.row_number().over(w)).drop("_h")
+    df = df.filter(F.col(group).isNotNull())
+    if n > _group_limit(df):  # keep the head of every group first; it needs no shuffle of the rows
+        df = hash_head(df, [group], id_col, seed, F.lit(n), "_in").filter("_in").drop("_in")
     w = Window.partitionBy(group).orderBy(key, id_col)
     return df.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n)

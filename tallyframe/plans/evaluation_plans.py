@@ -123,7 +123,7 @@ def _(t):
 
 @query("kept_reliability", f"""
 with {FIXTURE}, {_METRICS}
-select cast(cls as integer) as cls, case when n < 5 then printf('low (%d tests)', n) when f1 < 0.8 then printf('low (F1 %.2f)', f1) else 'high' end as reliability, n < 5 or f1 < 0.8 as is_low from f""")
+select cast(cls as integer) as cls, case when n < 5 then printf('low (%d tests)', n) when f1 < 0.8 then printf('low (F1 %.2f)', case when f1 * 8 = floor(f1 * 8) then round(f1, 2) else f1 end) else 'high' end as reliability, n < 5 or f1 < 0.8 as is_low from f""")
 def _(t):
     c = ev.class_scores(scored(t), "truth", "pred", labels=_labels(t))
     return ag.kept_reliability(c, "n", "f1").select("cls", "reliability", "is_low")

@@ -196,3 +196,16 @@ def test_verdict_tiers(spark):
     assert tier("R", 0.37, near[:2]) == ("low", 2)
     assert tier("R", 0.37, [(a, s - 0.06) for a, s in near]) == ("low", 0)
     assert tier(None, None, []) == ("low", 0)
+
+
+def test_reliability_text(spark):
+    df = spark.createDataFrame([(9, 0.125), (9, 0.075), (4, 0.9), (5, 0.8)], "n int, f1 double")
+    assert [r["reliability"] for r in aggregates.kept_reliability(df, "n", "f1").collect()] == ["low (F1 0.13)", "low (F1 0.07)", "low (4 tests)", "high"]
+
+
+def test_samples_above_the_window_limit(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 < 7, "hot").otherwise("cold").alias("g"))
+    small = windows.hash_first(df, "g", "id", 900, 1)
+    large = windows.hash_first(df, "g", "id", 1200, 1)
+    assert large.count() == 2400 and small.join(large, ["id", "k"], "left_anti").count() == 0
+    assert windows.first_n_per_group(df, "g", ["id"], 1100).agg(F.max("id")).collect()[0][0] == 3668  # 366 tens with three cold ids each, then 3667 and 3668
