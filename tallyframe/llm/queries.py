@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, token_files
+from . import packing, risk_rules, rule_ensemble, sharding, simhash, token_files
 from .common import scratch, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.minimax_shards(sharding.sized(tables(spark, sf_dir, "documents")), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_rule_ensemble")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+@query("op4_risk_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.judge(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
