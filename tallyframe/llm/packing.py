@@ -35,9 +35,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", 16 << 20):
                 part = batch.slice(a, b - a)
-                flat, counts = with_end(*enc.encode(part.column("text").to_pylist()), end_id)
+                flat, counts = with_end(*enc.encode(part.column("text")), end_id)
                 n_pieces = -(-counts // max_tokens)
                 row = np.repeat(np.arange(b - a), n_pieces)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)

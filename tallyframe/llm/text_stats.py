@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty
+from .common import text_or_empty
 
 SPLIT = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"  # fixed by the contract of the counts
+SYMBOLS = "[^#*$%&|<>]+"  # all but the symbols that the contract counts
 #: A 3-word window's hash fills the high bits and its position the low 30, so that one sort of plain longs brings
 #: equal windows together. Neighbours with equal high bits are candidates; their words are then compared in full.
 LOW = 30
@@ -35,8 +35,8 @@ def base_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     d = d.withColumn("_l", lines)
     return d.select(
         *keep, "_t", "_w", "n_words",
-        F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_t", SPLIT, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_t", SYMBOLS, "")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long").alias("n_repeat_words"))
@@ -48,18 +48,18 @@ RATIOS = ["symbol_share", "dup_line_share", "repeat_share", "mean_word", "upper_
 
 def ratios(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The base counts and size-free ratios, all double and never null (0 for a text without words)."""
-    d = base_counts(docs, keep)
+    d = base_counts(docs, keep).withColumn("_r", F.regexp_replace("_t", r"[\p{Ll}\s.,;]+", ""))  # short: what follows counts in it
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    lacking = lambda chars_: F.length("_t") - F.length(F.translate("_t", chars_, ""))
+    count = lambda kinds: F.length(F.regexp_replace("_r", f"[^{kinds}]+", ""))
     out = {
         "symbol_share": F.col("n_symbols") / chars,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
         "mean_word": F.col("word_chars") / words,
-        "upper_share": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")) / chars,
-        "shout_share": lacking("!?") / chars,
-        "bar_share": lacking("|_~=+\\/") / chars,
-        "digit_share": lacking("0123456789") / chars,
+        "upper_share": count(r"\p{Lu}") / chars,
+        "shout_share": count("!?") / chars,
+        "bar_share": count(r"|_~=+\\/") / chars,
+        "digit_share": count("0-9") / chars,
         "distinct_share": F.size(F.array_distinct("_w")) / words,
         "mean_line": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
         "log_words": F.log1p(F.col("n_words")),

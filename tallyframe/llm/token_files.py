@@ -31,9 +31,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
-            for a, b in slices(batch, "text"):
+            for a, b in slices(batch, "text", 16 << 20):
                 piece = batch.slice(a, b - a)
-                flat, counts = with_end(*enc.encode(piece.column("text").to_pylist()), end_id)
+                flat, counts = with_end(*enc.encode(piece.column("text")), end_id)
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([
                     piece.column("doc_id"), pa.array(np.full(b - a, part), pa.int32()), pa.array(before + ends - counts, pa.int64()),

@@ -1,97 +1,149 @@
 """Token ids of whole texts with a public tokenizer file, for use inside Spark tasks.
 
 White space ends a token in both supported kinds of vocabulary, so a text is cut into units that the
-tokenizer treats alike wherever they stand. Units are encoded once per worker and the ids of a text are
-gathered from that store. Texts with white space for which this is not certain are encoded in one piece.
+tokenizer treats alike wherever they stand. Arrow splits a slice of texts and finds its distinct units;
+each is encoded once per worker, and the ids of the texts are gathered from that store. Texts with white
+space for which this is not certain are encoded in one piece.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-UNITS_KEPT = 500_000  # units in a worker's store before it is emptied; changes speed only
-#: White space that the two libraries may see differently, or that joins with its neighbours.
-UNSURE_WORD = re.compile(r"[^\S \t\n\r]")
-UNSURE_BYTE = re.compile(r"\s\s|[^\S \n]|\x00")
+UNITS_KEPT = 1_000_000  # units in a worker's store before it is reduced to those in use; changes speed only
+#: Characters that not every library takes for white space alike, as a character class of RE2.
+UNSURE = r"\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: A unit of letters with at most one mark after it is the tokens of the letters and those of the mark.
+MARKED = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?]?)")
 
 
 class Encoder:
-    """``encode(texts)`` gives one flat uint32 array and the number of ids of each text."""
+    """``encode(texts)`` gives one flat uint32 array and the number of ids of each text.
 
-    def __init__(self, path: str):
-        import os
+    A vocabulary whose normalizer drops white space has words as units. Otherwise a unit stands for itself
+    with a blank before it, except after a line break, and except the first of a text, marked by a zero.
+    """
 
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # a vocabulary whose normalizer drops white space has no unit with a leading blank
         self.words = self.tokenizer.normalizer is not None
-        self._clear()
-
-    def _clear(self) -> None:
+        # letters alone are one pre-token, so they need no splitting
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def _units(self, text: str) -> list[str] | None:
-        if self.words:
-            return None if UNSURE_WORD.search(text) else text.split()
-        if UNSURE_BYTE.search(text):
-            return None
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\x00" + parts[0]
-        return parts
-
     def _unit_text(self, unit: str) -> str:
         if self.words or unit[:1] == "\n":
             return unit
         return unit[1:] if unit[:1] == "\x00" else " " + unit
 
-    def _learn(self, units: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([self._unit_text(u) for u in units], add_special_tokens=False)]
-        n = len(self.index)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total = int(sizes.sum())
+    def _letters(self, unit: str) -> bool:
+        """Whether a unit is letters, and stays so when the normalizer puts it in lower case."""
+        return unit.isalpha() and (not self.words or unit.isascii() or unicodedata.normalize("NFC", unit).lower().isalpha())
+
+    def _parts(self, unit: str) -> list[str] | None:
+        """The simpler units that a unit is made of, if it is not one itself."""
+        m = MARKED.fullmatch(unit[1:] if unit[:1] == "\x00" and not self.words else unit)
+        if not m:
+            return None
+        line, word, mark = m.groups()
+        if not self._letters(word):
+            return None
+        if self.words:
+            if line:
+                return None
+            low = word.lower() if word.isascii() else word
+            return [low, *([mark] if mark else [])] if mark or low != word else None
+        bare = "\x00" if line or unit[:1] == "\x00" else ""
+        return [*(["\x00\n"] if line else []), bare + word, *(["\x00" + mark] if mark else [])] if line or mark else None
+
+    def _append(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m, total = len(self.index), len(units), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(units) > len(self.starts):
+        while n + m > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=total)
-        self.starts[n:n + len(units)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[n:n + len(units)] = sizes
+        self.flat[self.used:self.used + total] = ids
+        self.starts[n:n + m] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[n:n + m] = sizes
         self.used += total
-        self.index.update(zip(units, range(n, n + len(units)), strict=True))
+        self.index.update(zip(units, range(n, n + m), strict=True))
+
+    def _encode_units(self, tokenizer, units: list[str]) -> None:
+        if units:
+            ids = [e.ids for e in tokenizer.encode_batch_fast([self._unit_text(u) for u in units], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            self._append(units, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stored units one after the other, and where each ends."""
+        sizes = self.lengths[at]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[at] - (ends - sizes), sizes)
+        shift += np.arange(len(shift))
+        return self.flat[shift], ends
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self._units(t) for t in texts]
-        whole = [i for i, u in enumerate(cut) if u is None]
-        units = [u for part in cut if part is not None for u in part]
-        new = list(set(units) - self.index.keys())
+    def _learn(self, units: list[str]) -> None:
+        made = {u: p for u in units if (p := self._parts(u))}
+        base = {u for u in units if u not in made}
+        base.update(x for p in made.values() for x in p if x not in self.index)
+        plain = {u for u in base if self._letters(u)}
+        self._encode_units(self.letters, list(plain))
+        self._encode_units(self.tokenizer, list(base - plain))
+        made = {u: p for u, p in made.items() if u not in self.index}
+        if made:
+            at = np.array([self.index[x] for p in made.values() for x in p])
+            ids, ends = self._gather(at)
+            last = np.cumsum([len(p) for p in made.values()]) - 1
+            self._append(list(made), ids, np.diff(ends[last], prepend=0))
+
+    def _shrink(self, units: list[str]) -> None:
+        """Keep only the given units."""
+        kept = [u for u in units if u in self.index]
+        at = np.array([self.index[u] for u in kept], dtype=np.int64)
+        ids, sizes = self._gather(at)[0], self.lengths[at]
+        self.index, self.used = {}, 0
+        self._append(kept, ids, sizes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        unsure = pc.match_substring_regex(texts, f"[{UNSURE}]" if self.words else rf"[ \n][ \n]|[\t\v\f\r{UNSURE}]")
+        safe = pc.if_else(unsure, "", texts)
+        if self.words:
+            cut = pc.ascii_split_whitespace(safe)
+        else:
+            cut = pc.split_pattern(pc.binary_join_element_wise("\x00", pc.replace_substring(safe, "\n", " \n"), ""), " ")
+        coded = cut.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        new = [u for u in units if u not in self.index]
         if new and len(self.index) + len(new) > UNITS_KEPT:
-            self._clear()
-            new = list(set(units))
+            self._shrink(units)
         if new:
             self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
-        sizes = self.lengths[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        per = np.fromiter((0 if u is None else len(u) for u in cut), dtype=np.int64, count=len(cut))
+        own = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
+        flat, ends = self._gather(own[coded.indices.to_numpy()])
+        per = np.diff(cut.offsets.to_numpy())
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
         counts = np.diff(bounds)
-        if whole:
-            direct = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+        whole = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
+        if len(whole):
+            direct = self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in whole], add_special_tokens=False)
             pieces = [flat[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
-            for i, e in zip(whole, direct, strict=True):
+            for i, e in zip(whole.tolist(), direct, strict=True):
                 pieces[i] = np.array(e.ids, dtype=np.uint32)
                 counts[i] = len(pieces[i])
             flat = np.concatenate(pieces)
