@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, risk_rules, rule_ensemble, sharding, simhash, token_files
+from . import packing, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
 from .common import scratch, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_risk_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+@query("op3_suffix_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(tables(spark, sf_dir, "documents"), 200)
