@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
+from . import latent_leaks, packing, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
 from .common import scratch, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_repeats")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(tables(spark, sf_dir, "documents"), 200)
+
+
+@query("op10_latent_leaks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_leaks.flagged(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
