@@ -75,8 +75,8 @@ def cutoffs(counts: list[tuple], risk: float, error: float) -> dict[tuple[str, s
         n = sum(g for g, _ in steps.values())
         best, chosen = 0, None
         for i, cut in enumerate(ladder(key[1])):
-            lost = sum(g for s, (g, _) in steps.items() if s > i)
-            caught = sum(b for s, (_, b) in steps.items() if s > i)
+            lost = sum(g for s, (g, _) in steps.items() if s >= STEPS - i)
+            caught = sum(b for s, (_, b) in steps.items() if s >= STEPS - i)  # the cutoffs exceeded are the strictest ones
             if binomial_tail(lost, n, risk / len(LADDERS)) > error / len(ladders):
                 break
             if caught - lost > best:
