@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for a, b in slices(batch, "text", 16 << 20):
+            for a, b in slices(batch, "text", 6 << 20):
                 part = batch.slice(a, b - a)
                 flat, counts = with_end(*enc.encode(part.column("text")), end_id)
                 n_pieces = -(-counts // max_tokens)

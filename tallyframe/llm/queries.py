@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import latent_leaks, packing, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
+from . import latent_leaks, license_scan, packing, page_text, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
 from .common import scratch, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,9 +65,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_suffix_repeats")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(tables(spark, sf_dir, "documents"), 200)
+    done = repeats.remove_repeats(tables(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query("op10_latent_leaks")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_leaks.flagged(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+@query("op5_dom_trees")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(tables(spark, sf_dir, "pages"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(tables(spark, sf_dir, "documents"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -266,32 +267,18 @@ def repeated_windows(texts: DataFrame, length: int = 200) -> DataFrame:
     return decided.unionByName(sorted_.select("t", (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row (and the kept text as ``kept`` bytes).
-
-    Every byte covered by a ``length``-byte string that starts twice or more anywhere goes, all copies alike;
-    strings are judged on the input and never cross documents. A null text counts as empty; a repeated row
-    is another document, whatever its id; texts shorter than ``length`` stay whole.
-    """
-    rows = docs.select(*docs.columns) if keep_text else docs.select("doc_id", "text")
-    texts = rows.withColumn("_text", text_or_empty()).withColumn("t", F.unhex(F.md5(F.col("_text").cast("binary"))))
-    windows = repeated_windows(texts.select("t", F.col("_text").alias("text")), length)
-    spans = materialise(windows.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))  # bounded by a text's length
-    n_spans = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    whole = F.struct(F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-                     F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"), F.col("_text").cast("binary").alias("kept"))
+def _cut(length: int):
+    """A column function: what is left of ``text`` (bytes) without its ``spans`` of window starts."""
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    def cut(text, spans):
-        import pandas as pd
-
+    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
         for raw, marks in zip(text, spans, strict=True):
             kept, removed, count, at, end = [], 0, 0, 0, -1
             for m in marks:
                 a, b = m["lo"], m["hi"] + length
                 if a > end:
-                    kept.append(raw[max(at, 0):a])
+                    kept.append(raw[at:a])
                     count, removed, end = count + 1, removed + b - a, b
                 elif b > end:
                     removed, end = removed + b - end, b
@@ -301,10 +288,42 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False)
             out.append((len(raw), removed, count, hashlib.sha256(left).hexdigest(), left))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    return cut
+
+
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """Every row of ``docs`` as ``row`` (a struct), with ``n_bytes, n_removed, n_spans, kept_sha256, kept``.
+
+    Every byte covered by a ``length``-byte string that starts twice or more anywhere goes, all copies alike;
+    strings are judged on the input and never cross documents. A null text counts as empty; a repeated row
+    is another document, whatever its id; texts shorter than ``length`` stay whole. ``kept`` are the
+    remaining bytes, which may start or end inside a character.
+    """
+    raw = F.col("text").cast("binary")
+    texts = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text")).withColumn("t", F.unhex(F.md5(raw)))
+    windows = repeated_windows(texts.select("t", "text"), length)
+    spans = materialise(windows.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))  # bounded by a text's length
+    n_spans = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     joined = join_texts(texts, spans, n_spans, "left")
-    fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept"] if keep_text else [])
-    base = [c for c in docs.columns] if keep_text else ["doc_id"]
-    free = joined.filter(F.col("spans").isNull()).withColumn("_c", whole)
-    hit = joined.filter(F.col("spans").isNotNull()).withColumn("_c", cut(F.col("_text").cast("binary"), "spans"))
-    pick = [*base, *[f"_c.{f}" for f in fields]]
-    return free.select(*pick).unionByName(hit.select(*pick))
+    none = F.lit(0).cast("long")
+    whole = F.struct(F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept"))
+    free = joined.filter(F.col("spans").isNull()).select("row", whole.alias("c"))
+    hit = joined.filter(F.col("spans").isNotNull()).select("row", _cut(length)(raw, F.col("spans")).alias("c"))
+    return free.unionByName(hit).select("row", "c.*")
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with their columns and the repeated bytes out of ``text``; ``n_chars``, if there, follows.
+
+    Broken characters at the cuts go as well. A document of which nothing but white space is left goes.
+    """
+    done = remove_repeats(docs, length)
+
+    @F.pandas_udf("string")
+    def readable(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    same = done.filter("n_removed = 0").select("row.*")
+    cut = done.filter("n_removed > 0").select("row", readable("kept").alias("kept")).filter(F.col("kept").rlike(r"\S"))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return same.unionByName(cut.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"row.`{c}`") for c in docs.columns]))

@@ -90,18 +90,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 50_000) -> RuleEnsemble:
+    """Learn from at most ``sample`` labelled ids outside the held-out fifth, the first by a hash of the id.
+
+    Rows without label or id are not learned from; several labels of one id are averaged.
+    """
+    marks = labels.filter(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("label"))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # ``sample`` rows of two numbers at most
+    return fit(materialise(ratios(known, ["doc_id", "label"]).dropDuplicates(["doc_id"]).select("label", *RATIOS)), RATIOS)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 50_000, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
-    Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0, at most ``sample`` of them, the
-    first by a hash of the id. The score uses statistics of the text alone. Null or empty texts have all
-    statistics 0 and get the score of that point; a null id is held out; repeated rows each get a row; several
-    labels of one id are averaged. No labels: every score is 0.5.
+    The score uses statistics of the text alone. Null or empty texts have all statistics 0 and get the score of
+    that point; a null id is held out; repeated rows each get a row. No labels: every score is 0.5.
     """
-    stats = materialise(ratios(docs, ["doc_id"]))
-    marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("label"))
-    known = stats.filter(~held_out()).dropDuplicates(["doc_id"]).join(marks, "doc_id")
-    train = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("label", *RATIOS))
-    model = fit(train, RATIOS)
-    score = model.score()
-    return stats.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = train(docs, labels, label, sample).score()
+    scored = ratios(docs, ["doc_id"]).select("doc_id", held_out().alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 50_000, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
+    score = train(docs, labels, label, sample).score()
+    scored = ratios(docs.select(F.struct("*").alias("_row"), "text"), ["_row"]).select("_row", score.alias("_s"), F.monotonically_increasing_id().alias("_n"))
+    # the row number keeps the filter above the statistics, which would else be computed again for every word
+    return scored.filter((F.col("_s") >= threshold) & (F.col("_n") >= 0)).select("_row.*")

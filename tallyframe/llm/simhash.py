@@ -44,7 +44,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_type: str = "bigint") -> DataFrame:
     """``doc_id, fp`` (signed 64 bit) of every row; a null text counts as empty."""
 
     def run(batches):
@@ -52,8 +52,8 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             fps = [fingerprint(t.as_buffer().to_pybytes(), words, seed) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def segments(radius: int, pieces: int) -> list[tuple[int, int, int]]:
@@ -110,3 +110,21 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = firsts.join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns.
+
+    It is the row with the smallest ``doc_id`` (null ids last), ties by the text's md5; of equal rows one stays.
+    """
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("_t"))
+    marked = fingerprints(docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("t")).alias("doc_id"), "text"),
+                          words, seed, "struct<id: bigint, t: binary>")
+    fps = materialise(marked.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    roots = connected(links(fps, radius)).withColumnRenamed("node", "fp")
+    first = F.min(F.struct(F.col("doc_id.id").isNull().alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.t").alias("t"), "n"))
+    best = fps.groupBy("fp").agg(first.alias("b")).join(roots, "fp", "left")
+    best = materialise(best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("b").alias("b")).select("b.*"))
+    kept = keyed.join(best, (F.col("_t") == F.col("t")) & F.col("_id").cast("long").eqNullSafe(F.col("id")))
+    single, repeated = kept.filter("n = 1").select("_row"), kept.filter("n > 1").dropDuplicates(["_t", "_id"]).select("_row")
+    return single.unionByName(repeated).select("_row.*")

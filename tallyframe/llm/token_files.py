@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
-            for a, b in slices(batch, "text", 16 << 20):
+            for a, b in slices(batch, "text", 6 << 20):
                 piece = batch.slice(a, b - a)
                 flat, counts = with_end(*enc.encode(piece.column("text")), end_id)
                 ends = np.cumsum(counts)

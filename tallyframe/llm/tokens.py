@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-UNITS_KEPT = 1_000_000  # units in a worker's store before it is reduced to those in use; changes speed only
+UNITS_KEPT = 500_000  # units in a worker's store before it is reduced to those in use; changes speed only
 #: Characters that not every library takes for white space alike, as a character class of RE2.
 UNSURE = r"\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: A unit of letters with at most one mark after it is the tokens of the letters and those of the mark.
