@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, when nothing reads them any more.
+
+    The collection lets Spark's cleaner remove the shuffle files of the jobs that are done with, too.
+    """
+    spark = written[0].sparkSession
+    below = shared_dir(spark).rstrip("/")
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if below.removeprefix("file:").lstrip("/") in folder and "/table-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -43,4 +60,4 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-__all__ = ["SPACES", "materialise", "scratch", "slices", "tables", "text_or_empty"]
+__all__ = ["SPACES", "materialise", "release", "scratch", "slices", "tables", "text_or_empty"]

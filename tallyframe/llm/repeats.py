@@ -6,8 +6,8 @@
    dropped; nothing is lost. Where the whole stretch of windows of an anchor occurs twice, all of them repeat.
 2. *Suffix sorting* of what is left undecided: the stretches that agree only in part, and one representative
    of each stretch that they may agree with. Positions 1 and 2 modulo 3 are the difference cover. Their
-   triples of eight-byte words are sorted and named in order; triples of names are sorted and named in
-   turn (reaching 24, 72 and 198 bytes). A triple that occurs once ends its suffix's part in the work.
+   triples of 24-byte words are sorted and named in order; triples of names are sorted and named in
+   turn (reaching 72 and 198 bytes). A triple that occurs once ends its suffix's part in the work.
    The remaining suffixes are merged by the one or two symbols before a named suffix and those after it: for
    any two positions there is a shift of at most two that brings both into the cover.
 3. *Adjacent prefixes* that agree over ``length`` bytes are the suffixes with one merged name that occurs twice.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, release, text_or_empty
 
 GRAM = 8  # bytes hashed at a possible anchor
 SPARE = 32  # an anchor is at least so far from the start of its windows
@@ -99,11 +99,14 @@ def join_texts(texts: DataFrame, spans: DataFrame, n_spans: int, how: str) -> Da
     return texts.join(F.broadcast(spans) if n_spans <= SPANS_BROADCAST else spans, "t", how)
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace the ``keys`` of suffix rows by a name in their sort order; keys that occur once are dropped."""
+def named(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Replace the ``keys`` of suffix rows by a name in their sort order; keys that occur once are dropped.
+
+    Also returns the written table of names, for the caller to release.
+    """
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
     names = materialise(twice.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
-    return rows.join(names, keys).select("seg", "i", "name")
+    return rows.join(names, keys).select("seg", "i", "name"), names
 
 
 def _by_segment(rows: DataFrame, build, schema: str) -> DataFrame:
@@ -156,21 +159,23 @@ def wider(rows: DataFrame, first: int, second: int) -> DataFrame:
 
 
 def words_of(segments: DataFrame) -> DataFrame:
-    """Triples of eight-byte words at the cover's positions of each segment."""
+    """Triples of 24-byte words at the cover's positions of each segment."""
+
+    def column(words: np.ndarray) -> pa.Array:
+        offsets = np.arange(0, 24 * len(words) + 1, 24, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words))])
 
     def run(batches):
         for batch in batches:
             for seg, raw in zip(batch.column("seg").to_pylist(), batch.column("bytes"), strict=True):
                 data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                if len(data) < 25:
-                    continue
-                word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(">u8").ravel().astype(np.uint64)
-                word = (word ^ np.uint64(1 << 63)).view(np.int64)  # signed order is byte order
-                i = np.arange(len(data) - 23)
-                i = i[i % 3 > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), seg)), pa.array(i), *[pa.array(word[i + s]) for s in (0, 8, 16)]], names=["seg", "i", "a", "b", "c"])
+                for first in range(0, len(data) - 71, STEP):
+                    i = np.arange(first, min(first + STEP, len(data) - 71))
+                    i = i[i % 3 > 0]
+                    words = np.lib.stride_tricks.sliding_window_view(data, 24)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), seg)), pa.array(i), *[column(words[i + s]) for s in (0, 24, 48)]], names=["seg", "i", "a", "b", "c"])
 
-    return segments.select("seg", "bytes").mapInArrow(run, "seg long, i long, a long, b long, c long")
+    return segments.select("seg", "bytes").mapInArrow(run, "seg long, i long, a binary, b binary, c binary")
 
 
 def merged(names: DataFrame, segments: DataFrame, length: int, reach: int = 198) -> DataFrame:
@@ -219,10 +224,12 @@ def runs(windows: DataFrame) -> DataFrame:
 
 def suffix_repeats(segments: DataFrame, length: int) -> DataFrame:
     """Windows ``seg, lo, hi`` of the segments (``seg, bytes``) that occur twice or more among them."""
-    level = materialise(named(words_of(segments), ["a", "b", "c"]))
-    level = materialise(named(wider(level, 24, 48), ["a", "b", "c"]))
-    level = named(wider(level, 63, 126), ["a", "b", "c"])
-    keys = materialise(merged(level, segments, length))
+    short, used = named(words_of(segments), ["a", "b", "c"])
+    short = materialise(short)
+    release(used)
+    long, used = named(wider(short, 63, 126), ["a", "b", "c"])
+    keys = materialise(merged(long, segments, length))
+    release(short, used)
     twice = keys.groupBy("x", "r").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("x", "r")
     return runs(keys.join(twice, ["x", "r"], "left_semi").select("seg", "i"))
 
@@ -234,10 +241,11 @@ def repeated_windows(texts: DataFrame, length: int = 200) -> DataFrame:
     """
     if length != 200:
         raise ValueError("the difference cover is laid out for 200 bytes")
-    rows = materialise(anchor_rows(texts, length))
-    again = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("k"))
+    every = materialise(anchor_rows(texts, length))
+    again = materialise(every.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("k"))
     again = F.broadcast(again) if again.limit(SPANS_BROADCAST + 1).count() <= SPANS_BROADCAST else again
-    rows = materialise(rows.join(again, "k", "left_semi"))
+    rows = materialise(every.join(again, "k", "left_semi"))
+    release(every)
     classes = materialise(rows.groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "lo", "hi")).alias("r")))
     decided = rows.join(classes.filter("n > 1").select("k", "e"), ["k", "e"], "left_semi").select("t", "lo", "hi").distinct()
     split = classes.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("k")
@@ -262,7 +270,7 @@ def repeated_windows(texts: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("t", pa.binary()), ("start", pa.int64()), ("bytes", pa.binary())]))
 
     segments = found.mapInArrow(cut, "t binary, start long, bytes binary").dropDuplicates(["t", "start"])
-    segments = materialise(materialise(segments).withColumn("seg", F.monotonically_increasing_id()))
+    segments = materialise(segments.withColumn("seg", F.monotonically_increasing_id()))
     sorted_ = suffix_repeats(segments, length).join(segments.select("seg", "t", "start"), "seg")
     return decided.unionByName(sorted_.select("t", (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi")))
 
