@@ -3,7 +3,8 @@
 1. *Sampling.* Every window of ``length`` bytes chooses one anchor inside it: the position with the least hash in
    its middle part. Equal windows choose the same place, so two equal windows have anchors with an equal
    neighbourhood. Anchors whose neighbourhood occurs once in the corpus cannot belong to a repeat and are
-   dropped; nothing is lost. Where the whole stretch of windows of an anchor occurs twice, all of them repeat.
+   dropped; nothing is lost. Where the whole stretch of windows of an anchor occurs twice, all of them repeat;
+   other stretches are compared in grains of 16 windows, by all bytes of a grain and by those its windows share.
 2. *Suffix sorting* of what is left undecided: the stretches that agree only in part, and one representative
    of each stretch that they may agree with. Positions 1 and 2 modulo 3 are the difference cover. Their
    triples of 24-byte words are sorted and named in order; triples of names are sorted and named in
@@ -33,12 +34,13 @@ GRAM = 8  # bytes hashed at a possible anchor
 SPARE = 32  # an anchor is at least so far from the start of its windows
 REACH = 128  # possible anchors of a window
 STEP = 4 << 20  # windows worked on at once
-SPANS_BROADCAST = 2_000_000  # spans (16 bytes each) up to which they travel to the texts
+GRAIN = 16  # window starts decided together, counted from the anchor
+SPANS_BROADCAST = 1_000_000  # spans (32 bytes each at most) up to which they travel to the texts
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
-    """First and last window start of each anchor, the hash of its neighbourhood, and of its whole stretch."""
-    los, his, near, full = [], [], [], []
+def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]:
+    """First and last window start of each anchor, its own place, the hash of its neighbourhood, and of its whole stretch."""
+    los, his, places, near, full = [], [], [], [], []
     digest = xxhash.xxh3_64_intdigest
     for base in range(0, len(text) - length + 1, STEP):
         part = text[base:base + STEP + length - 1]
@@ -60,11 +62,12 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, list[int]
         pos = at[first] + SPARE
         los.append(first + base)
         his.append(last + base)
+        places.append(pos + base)
         near += [digest(part[a - SPARE:a + length - SPARE - REACH + 1]) for a in pos.tolist()]
         full += [digest(part[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
     if not los:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
-    return np.concatenate(los), np.concatenate(his), near, full
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
+    return np.concatenate(los), np.concatenate(his), np.concatenate(places), near, full
 
 
 def _signed(values: list[int]) -> pa.Array:
@@ -72,7 +75,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """``t, lo, hi, k, e`` of every anchor of rows ``t`` (key of the text), ``text``."""
+    """``t, lo, hi, a, k, e`` of every anchor of rows ``t`` (key of the text), ``text``."""
 
     def run(batches):
         for batch in batches:
@@ -88,10 +91,11 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                     which = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
                     yield pa.RecordBatch.from_arrays([
                         keys.take(pa.array(which)), pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[2] for x in held])),
-                        _signed([h for x in held for h in x[3]]), _signed([h for x in held for h in x[4]])], names=["t", "lo", "hi", "k", "e"])
+                        pa.array(np.concatenate([x[3] for x in held])), _signed([h for x in held for h in x[4]]), _signed([h for x in held for h in x[5]])],
+                        names=["t", "lo", "hi", "a", "k", "e"])
                     held, count = [], 0
 
-    return texts.mapInArrow(run, "t binary, lo long, hi long, k long, e long")
+    return texts.mapInArrow(run, "t binary, lo long, hi long, a long, k long, e long")
 
 
 def join_texts(texts: DataFrame, spans: DataFrame, n_spans: int, how: str) -> DataFrame:
@@ -246,21 +250,68 @@ def repeated_windows(texts: DataFrame, length: int = 200) -> DataFrame:
     again = F.broadcast(again) if again.limit(SPANS_BROADCAST + 1).count() <= SPANS_BROADCAST else again
     rows = materialise(every.join(again, "k", "left_semi"))
     release(every)
-    classes = materialise(rows.groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "lo", "hi")).alias("r")))
+    classes = materialise(rows.groupBy("k", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "lo", "hi", "a")).alias("r")))
     decided = rows.join(classes.filter("n > 1").select("k", "e"), ["k", "e"], "left_semi").select("t", "lo", "hi").distinct()
     split = classes.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("k")
-    open_ = classes.join(split, "k", "left_semi").select("r.t", F.col("r.lo").alias("lo"), (F.col("r.hi") + length).alias("end"))
-    regions = materialise(open_.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("lo", "end"))).alias("spans")))  # a text's own anchors
-    n_spans = regions.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    found = join_texts(texts, regions, n_spans, "inner")
+    part = materialise(grains(texts, classes.join(split, "k", "left_semi").select("r.*", "k"), length))
+    part = part.join(part.groupBy("k", "j", "c").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), ["k", "j", "c"], "left_semi")
+    part = materialise(part)
+    alike = materialise(part.groupBy("k", "j", "c", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "lo", "hi")).alias("r")))
+    agreed = part.join(alike.filter("n > 1").select("k", "j", "c", "f"), ["k", "j", "c", "f"], "left_semi").select("t", "lo", "hi")
+    split = alike.groupBy("k", "j", "c").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    open_ = alike.join(split, ["k", "j", "c"], "left_semi").select("r.t", F.col("r.lo").alias("lo"), (F.col("r.hi") + length).alias("end"))
+    segments = materialise(regions(texts, open_).withColumn("seg", F.monotonically_increasing_id()))
+    sorted_ = suffix_repeats(segments, length).join(segments.select("seg", "t", "start"), "seg")
+    found = sorted_.select("t", (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi"))
+    return decided.unionByName(agreed).unionByName(found)
+
+
+def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Texts with the ``spans`` of their key as an array, which the length of a text bounds."""
+    fields = [c for c in spans.columns if c != "t"]
+    lists = materialise(spans.groupBy("t").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias("spans")))
+    count = lists.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    return join_texts(texts, lists, count, "inner")
+
+
+def grains(texts: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
+    """``k, j, c, f, t, lo, hi``: the stretches in grains of window starts at like distances ``j`` from their anchor.
 
-    def cut(batches):
+    ``c`` is the hash of the bytes that all windows of a grain share: windows of two grains can only be
+    equal if they agree in it. ``f`` is the hash of all bytes of the grain's windows: where it occurs
+    twice, all of them repeat. ``stretches`` has ``t, lo, hi, a, k``.
+    """
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"t": [], "start": [], "bytes": []}
+            out: dict[str, list] = {x: [] for x in ("k", "j", "c", "f", "t", "lo", "hi")}
             for t, text, spans in zip(batch.column("t").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                at, end = spans[0]["lo"], spans[0]["end"]
-                for s in [*spans[1:], None]:
+                for s in spans:
+                    a = s["a"]
+                    for j in range((a - s["hi"]) // GRAIN, (a - s["lo"]) // GRAIN + 1):
+                        top = a - GRAIN * j
+                        lo, hi = max(s["lo"], top - GRAIN + 1), min(s["hi"], top)
+                        for name, value in (("k", s["k"]), ("j", j), ("c", digest(raw[top:top - GRAIN + 1 + length])), ("f", digest(raw[lo:hi + length])), ("t", t), ("lo", lo), ("hi", hi)):
+                            out[name].append(value)
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([long(out["k"]), long(out["j"]), _signed(out["c"]), _signed(out["f"]), pa.array(out["t"], pa.binary()), long(out["lo"]), long(out["hi"])],
+                                             names=list(out))
+
+    return _with_spans(texts, stretches).mapInArrow(run, "k long, j long, c long, f long, t binary, lo long, hi long")
+
+
+def regions(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``t, start, bytes``: the bytes of each text's ``spans`` (``t, lo, end``), overlapping ones as one."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {"t": [], "start": [], "bytes": []}
+            for t, text, marks in zip(batch.column("t").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                at, end = marks[0]["lo"], marks[0]["end"]
+                for s in [*marks[1:], None]:
                     if s is None or s["lo"] > end:
                         out["t"].append(t)
                         out["start"].append(at)
@@ -269,10 +320,7 @@ def repeated_windows(texts: DataFrame, length: int = 200) -> DataFrame:
                     end = s and max(end if s["lo"] <= end else 0, s["end"])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("t", pa.binary()), ("start", pa.int64()), ("bytes", pa.binary())]))
 
-    segments = found.mapInArrow(cut, "t binary, start long, bytes binary").dropDuplicates(["t", "start"])
-    segments = materialise(segments.withColumn("seg", F.monotonically_increasing_id()))
-    sorted_ = suffix_repeats(segments, length).join(segments.select("seg", "t", "start"), "seg")
-    return decided.unionByName(sorted_.select("t", (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi")))
+    return _with_spans(texts, spans).mapInArrow(run, "t binary, start long, bytes binary").dropDuplicates(["t", "start"])
 
 
 def _cut(length: int):
