@@ -34,6 +34,7 @@ GRAM = 8  # bytes hashed at a possible anchor
 SPARE = 32  # an anchor is at least so far from the start of its windows
 REACH = 128  # possible anchors of a window
 STEP = 4 << 20  # windows worked on at once
+STRIDES = (63, 126)  # of the second naming, multiples of 3: 72 bytes become 198
 GRAIN = 16  # window starts decided together, counted from the anchor
 SPANS_BROADCAST = 1_000_000  # spans (32 bytes each at most) up to which they travel to the texts
 
@@ -162,7 +163,7 @@ def wider(rows: DataFrame, first: int, second: int) -> DataFrame:
     return _by_segment(rows, build, "seg long, i long, a long, b long, c long")
 
 
-def words_of(segments: DataFrame) -> DataFrame:
+def words_of(segments: DataFrame, length: int) -> DataFrame:
     """Triples of 24-byte words at the cover's positions of each segment."""
 
     def column(words: np.ndarray) -> pa.Array:
@@ -173,9 +174,12 @@ def words_of(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for seg, raw in zip(batch.column("seg").to_pylist(), batch.column("bytes"), strict=True):
                 data = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                for first in range(0, len(data) - 71, STEP):
-                    i = np.arange(first, min(first + STEP, len(data) - 71))
-                    i = i[i % 3 > 0]
+                wanted = np.zeros(max(0, len(data) - 71), dtype=bool)
+                for s in (0, *STRIDES):  # where the names of a window's suffixes will look
+                    wanted[s:s + max(0, len(data) - length + 3)] = True
+                wanted[::3] = False
+                for first in range(0, len(wanted), STEP):
+                    i = np.flatnonzero(wanted[first:first + STEP]) + first
                     words = np.lib.stride_tricks.sliding_window_view(data, 24)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), seg)), pa.array(i), *[column(words[i + s]) for s in (0, 24, 48)]], names=["seg", "i", "a", "b", "c"])
 
@@ -228,10 +232,10 @@ def runs(windows: DataFrame) -> DataFrame:
 
 def suffix_repeats(segments: DataFrame, length: int) -> DataFrame:
     """Windows ``seg, lo, hi`` of the segments (``seg, bytes``) that occur twice or more among them."""
-    short, used = named(words_of(segments), ["a", "b", "c"])
+    short, used = named(words_of(segments, length), ["a", "b", "c"])
     short = materialise(short)
     release(used)
-    long, used = named(wider(short, 63, 126), ["a", "b", "c"])
+    long, used = named(wider(short, *STRIDES), ["a", "b", "c"])
     keys = materialise(merged(long, segments, length))
     release(short, used)
     twice = keys.groupBy("x", "r").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("x", "r")
