@@ -197,9 +197,10 @@ def running(
 
 
 def _cell(value: Column) -> Column:
-    """Monotone cell number of a double: 4,096 cells per power of two, zero in the middle."""
+    """Monotone cell number of a double: 4,096 cells per power of two, zero in the middle, infinities at the ends."""
     size = F.floor(F.log2(F.abs(value)) * 4096) + F.lit(5_000_000)
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+    end = F.lit(20_000_000).cast("long")
+    return F.when(value == float("inf"), end).when(value == float("-inf"), -end).when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
 
 
 def exact_quantiles(
@@ -257,7 +258,7 @@ def exact_quantiles(
     lo, hi = F.max(F.when(F.col("low"), F.col("v"))), F.max(F.when(~F.col("low"), F.col("v")))
     return (
         picked.groupBy(*keys, "prob")
-        .agg((lo + (hi - lo) * F.max("frac")).alias("value"), F.max("n").alias("n"))
+        .agg(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.max("frac")).alias("value"), F.max("n").alias("n"))
         .select(*keys, "prob", "value", "n")
     )
 

@@ -52,7 +52,6 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tallyframe-")
     sc.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -25,12 +25,6 @@ BOX_BELOW = 50
 BOX_TRUNCATED_MIN = 0.12
 BOX_TRUNCATED_THICKNESS = 6
 
-# Flags, quality score and sheets
-EMPTY_FRAC = 0.005
-LARGE_FRAC = 0.80
-SMALL_FRAC = 0.05
-WORST_N = 40
-
 # Evidence tiers
 SIGNAL_MIN_DB = 30.0
 FINGERPRINT_MAX = 6

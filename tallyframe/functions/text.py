@@ -103,9 +103,10 @@ def strip_leading_term(c: Column | str, term: Column | str) -> Column:
     return F.when(c.startswith(term) & rest.rlike(r"(?U)^\s"), F.regexp_replace(rest, r"(?U)^\s+", "")).otherwise(c)
 
 
-def marker_screen(c: Column | str, markers: list[str] | None = None, head: int = fixed.CHALLENGE_HEAD) -> Column:
-    """True if any marker occurs in the first ``head`` bytes (the tail of a cut character is ignored)."""
-    page = F.substring(F.encode(_col(c), "UTF-8"), 1, head).cast("binary")
+def marker_screen(c: Column | str, markers: list[str] | None = None, head: int | None = None) -> Column:
+    """True if any marker occurs; with ``head``, only in so many bytes (the tail of a cut character is ignored)."""
+    page = F.encode(_col(c), "UTF-8")
+    page = (page if head is None else F.substring(page, 1, head)).cast("binary")
     hit = F.lit(False)
     for m in markers or fixed.CHALLENGE_MARKERS:
         hit = hit | page.contains(F.lit(m.encode()))

@@ -33,11 +33,12 @@ def latest_per_key(df: DataFrame, key: list[str], order: list[str], columns: lis
 
 
 def first_n_per_group(df: DataFrame, group: str, order: list[Column | str], n: int) -> DataFrame:
-    """First n rows per group; n of 0 or less keeps all of them. ``order`` is total."""
+    """First n rows per group; n of 0 or less keeps all of them. ``order`` is total. Null is a group like any other."""
     if n <= 0:
         return df
     if n > _group_limit(df):
-        return group_rank(df, [group], order).filter(F.col("rank") <= n).drop("rank")
+        keyed = df.withColumn("_group", F.to_json(F.struct(group)))  # never null
+        return group_rank(keyed, ["_group"], order).filter(F.col("rank") <= n).drop("rank", "_group")
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

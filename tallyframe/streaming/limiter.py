@@ -47,8 +47,9 @@ def rate_limit_flags(df: DataFrame, key: str, at_us: str, id_col: str, limit: in
     """
     window_us = window_s * 1_000_000
     rows = df.select(key, id_col, F.col(at_us).alias("_t")).withColumn("_b", F.floor(F.col("_t") / window_us))
-    per = Window.partitionBy(key).orderBy("_b")  # one row per bucket of a key
-    b = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_k", F.to_json(F.struct(key)))  # never null: rows without a key are limited together
+    per = Window.partitionBy("_k").orderBy("_b")  # one row per bucket of a key
+    b = rows.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.when(F.lag("_b").over(per) == F.col("_b") - 1, F.lag("_n").over(per)).otherwise(0)
     b = b.withColumn("_busy", F.col("_n") + before > limit)
     follows = (F.lag("_b").over(per) == F.col("_b") - 1) & F.lag("_busy").over(per)
@@ -57,8 +58,8 @@ def rate_limit_flags(df: DataFrame, key: str, at_us: str, id_col: str, limit: in
     # a quiet bucket right before a busy one is the history of that run
     leads = (F.lead("_b").over(per) == F.col("_b") + 1) & (F.lead("_start").over(per) == 1)
     b = b.withColumn("_leads", F.coalesce(~F.col("_busy") & leads, F.lit(False)))
-    b = b.filter("_busy or _leads").select(key, "_b", "_busy", F.when(F.col("_leads"), F.col("_run") + 1).otherwise(F.col("_run")).alias("_run"))
-    rows = join_small(rows, b, [key, "_b"], "left")
+    b = b.filter("_busy or _leads").select("_k", "_b", "_busy", F.when(F.col("_leads"), F.col("_run") + 1).otherwise(F.col("_run")).alias("_run"))
+    rows = join_small(rows, b, ["_k", "_b"], "left")
     quiet = rows.filter(~F.coalesce(F.col("_busy"), F.lit(False))).select(key, id_col, F.lit(True).alias("accepted"))
     kinds = dict(df.dtypes)
 

@@ -209,3 +209,15 @@ def test_samples_above_the_window_limit(spark):
     large = windows.hash_first(df, "g", "id", 1200, 1)
     assert large.count() == 2400 and small.join(large, ["id", "k"], "left_anti").count() == 0
     assert windows.first_n_per_group(df, "g", ["id"], 1100).agg(F.max("id")).collect()[0][0] == 3668  # 366 tens with three cold ids each, then 3667 and 3668
+
+
+@pytest.mark.parametrize("n", [5, 1001])
+def test_first_n_keeps_the_null_group(spark, n):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "i int, g string")
+    got = windows.first_n_per_group(df, "g", ["i"], n).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in got} == {None: min(n, 10), "a": min(n, 20)}
+
+
+def test_markers_are_found_behind_long_heads(spark):
+    assert col(spark, ["x" * 9000 + "Just a moment"], lambda c: text.marker_screen(c, ["Just a moment"])) == [True]
+    assert col(spark, ["x" * 9000 + "Just a moment"], lambda c: text.marker_screen(c, ["Just a moment"], head=8192)) == [False]
