@@ -8,16 +8,18 @@ space for which this is not certain are encoded in one piece.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-UNITS_KEPT = 500_000  # units in a worker's store before it is reduced to those in use; changes speed only
+UNITS_KEPT = 700_000  # units in a worker's store before it is reduced to those in use; changes speed only
 #: Characters that not every library takes for white space alike, as a character class of RE2.
 UNSURE = r"\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: A unit of letters with at most one mark after it is the tokens of the letters and those of the mark.
@@ -88,7 +90,7 @@ class Encoder:
         if units:
             ids = [e.ids for e in tokenizer.encode_batch_fast([self._unit_text(u) for u in units], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self._append(units, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes)
+            self._append(units, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of stored units one after the other, and where each ends."""
@@ -121,6 +123,13 @@ class Encoder:
         self._append(kept, ids, sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        gc.disable()  # many short lists and no cycles: collections would only walk the store
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         unsure = pc.match_substring_regex(texts, f"[{UNSURE}]" if self.words else rf"[ \n][ \n]|[\t\v\f\r{UNSURE}]")
         safe = pc.if_else(unsure, "", texts)
         if self.words:
