@@ -4,7 +4,7 @@
    its middle part. Equal windows choose the same place, so two equal windows have anchors with an equal
    neighbourhood. Anchors whose neighbourhood occurs once in the corpus cannot belong to a repeat and are
    dropped; nothing is lost. Where the whole stretch of windows of an anchor occurs twice, all of them repeat;
-   other stretches are compared in grains of 16 windows, by all bytes of a grain and by those its windows share.
+   other stretches are compared in grains of four windows, by all bytes of a grain and by those its windows share.
 2. *Suffix sorting* of what is left undecided: the stretches that agree only in part, and one representative
    of each stretch that they may agree with. Positions 1 and 2 modulo 3 are the difference cover. Their
    triples of 24-byte words are sorted and named in order; triples of names are sorted and named in
@@ -35,7 +35,7 @@ SPARE = 32  # an anchor is at least so far from the start of its windows
 REACH = 128  # possible anchors of a window
 STEP = 4 << 20  # windows worked on at once
 STRIDES = (63, 126)  # of the second naming, multiples of 3: 72 bytes become 198
-GRAIN = 16  # window starts decided together, counted from the anchor
+GRAIN = 4  # window starts decided together, counted from the anchor
 SPANS_BROADCAST = 1_000_000  # spans (32 bytes each at most) up to which they travel to the texts
 
 
