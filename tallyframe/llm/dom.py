@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Elements by kind; fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -13,7 +14,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>|([^<]++|<)""", re.S)
+#: A tag ends before the next "<", and nothing is matched twice, so broken markup is read in linear time.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^<>"'])*+)>|<[!?][^<>]*+>|([^<]++|<)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
@@ -25,6 +27,7 @@ class Page:
         self.tag, self.parent, self.depth, self.tokens = ["#root"], [-1], [0], [frozenset()]
         self.own, self.linked = [0], [0]  # characters of text, and of those in links
         self.stream: list[tuple[int, str | None]] = []
+        self.open: Counter[str] = Counter()  # tags on the stack, so that deep pages need no search through it
         stack, links, at = [0], 0, 0
         while at < len(source):
             m = TOKEN.match(source, at)
@@ -45,13 +48,13 @@ class Page:
             if m[1]:
                 if name == "a":
                     links = max(0, links - 1)
-                if name == "br" or name == "p" and all(self.tag[s] != "p" for s in stack):
+                if name == "br" or name == "p" and not self.open["p"]:
                     self.stream.append((stack[-1], None))
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if self.open[name] else ():
                     if self.tag[stack[depth]] == name:
                         if name != "span":
                             self.stream.append((stack[-1], None))
-                        del stack[depth:]
+                        self._end(stack, depth)
                         break
                 continue
             if name in UNREAD or name in RAW:
@@ -75,21 +78,28 @@ class Page:
             self.stream.append((stack[-1], None)) if name != "span" else None
             stack.append(len(self.tag))
             self.tag.append(name)
+            self.open[name] += 1
             self.parent.append(stack[-2])
             self.depth.append(len(stack) - 1)
             self.tokens.append(marks)
             self.own.append(0)
             self.linked.append(0)
 
+    def _end(self, stack: list[int], depth: int) -> None:
+        self.open.subtract(self.tag[s] for s in stack[depth:])
+        del stack[depth:]
+
     def _close(self, name: str, stack: list[int]) -> None:
         """End the elements that a start tag ends without saying so."""
         ends, holds = CLOSES.get(name, set()), HOLDS.get(name, set())
+        if not self.open["p"] and not any(self.open[t] for t in ends):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag in holds or tag in ("table", "ul", "ol", "dl") and name not in ("li", "dt", "dd", "tr", "td", "th"):
                 break
             if tag in ends or tag == "p":
-                del stack[depth:]
+                self._end(stack, depth)
                 if name in ("td", "th", "li", "p") or tag == "p" and not ends:
                     break
 
