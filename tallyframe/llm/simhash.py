@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import materialise, text_or_empty
 from .components import connected
 
@@ -112,16 +113,23 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns.
 
+    With ``similarity``, texts whose five-word shingles are as similar (Jaccard) are linked, too.
     It is the row with the smallest ``doc_id`` (null ids last), ties by the text's md5; of equal rows one stays.
     """
     keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("_t"))
     marked = fingerprints(docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("t")).alias("doc_id"), "text"),
                           words, seed, "struct<id: bigint, t: binary>")
     fps = materialise(marked.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n")))
-    roots = connected(links(fps, radius)).withColumnRenamed("node", "fp")
+    found = links(fps, radius)
+    if similarity is not None:
+        found = materialise(found)
+        nodes = materialise(fps.select("doc_id.t", "fp").distinct())
+        texts = docs.select(F.unhex(F.md5(text_or_empty().cast("binary"))).alias("t"), text_or_empty().alias("text"))
+        found = found.unionByName(near_copies.links(texts, nodes, found, similarity))
+    roots = connected(found).withColumnRenamed("node", "fp")
     first = F.min(F.struct(F.col("doc_id.id").isNull().alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.t").alias("t"), "n"))
     best = fps.groupBy("fp").agg(first.alias("b")).join(roots, "fp", "left")
     best = materialise(best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("b").alias("b")).select("b.*"))

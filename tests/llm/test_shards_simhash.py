@@ -124,3 +124,44 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_near_copies_by_jaccard_have_one_row(spark):
+    rows, near = [], set()
+    for g in range(40):
+        words = prose(1000 + g, 300).split()
+        rows.append((10 * g, " ".join(words)))
+        for c in range(1, 4):  # 2 to 6 words replaced: 10 to 30 shingles of 296, a similarity of 0.82 to 0.93
+            copy = list(words)
+            for j in range(2 * c):
+                copy[20 + 47 * j] = f"new{c}x{j}"
+            rows.append((10 * g + c, " ".join(copy)))
+        far = [w if i % 9 else f"far{i}" for i, w in enumerate(words)]
+        rows.append((10 * g + 9, " ".join(far)))
+    sets = {i: {tuple(t.lower().split()[j:j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                near.add((a, b))
+            if a < b and ((a, b) in near or (fps[a] ^ fps[b]).bit_count() <= 4):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    assert len(near) >= 120 and sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in near) > 20
+    got = simhash.one_of_each(documents(spark, AWKWARD[:3] + rows), similarity=0.8)
+    assert sorted(r.doc_id for r in got.filter("text like '% %' and doc_id <> 3").collect()) == sorted(i for i in sets if root(i) == i)
+
+
+def test_a_large_group_and_a_bucket_of_two_texts(spark):
+    base = prose(77, 400).split()
+    rows = [(i, " ".join(base[:390] + [f"v{i}x{j}" for j in range(10)])) for i in range(120)]
+    rows += [(1000 + i, prose(2000 + i, 200)) for i in range(30)]
+    got = simhash.one_of_each(documents(spark, rows, extra=False), similarity=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == [0, *range(1000, 1030)]
