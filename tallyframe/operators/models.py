@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..core.scale import join_small
 from ..core.session import materialise
-from .sampling import stratified_folds
+from .sampling import hash_sample_n, stratified_folds
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -81,21 +83,24 @@ def mixed_features(categorical: list[str], numeric: list[str]) -> list:
 
 
 def mixed_feature_probe(df: DataFrame, key: str, label: str, sets: dict[str, tuple[list[str], list[str]]], models: list[str],
-                        folds: int = 5, seed: int = 42, trees: int = 200, max_iter: int = 100) -> DataFrame:
-    """Out-of-fold predictions per (feature set, model): key, truth, pred."""
+                        folds: int = 5, seed: int = 42, trees: int = 200, max_iter: int = 5000, C: float = 1.0) -> DataFrame:
+    """Out-of-fold predictions per (feature set, model): key, truth, pred. The logistic model has the L2 penalty of ``linear_probe_fit``."""
     rows = balanced_weights(df, label)
     names = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
     kind = dict(df.dtypes)[label]
     rows = materialise(stratified_folds(names.transform(rows), label, key, folds, seed))
     classes = F.array(*[F.lit(c).cast(kind) for c in names.labels])
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
     parts = []
     for set_name, (categorical, numeric) in sets.items():
         for model in models:
-            if model == "logistic":
-                est = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=max_iter, predictionCol="_p")
-            else:
-                est = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=2, seed=seed, predictionCol="_p")
             for f in range(folds):
+                if model == "logistic":
+                    n = sum(sizes.values()) - sizes.get(f, 0)
+                    est = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
+                                             standardization=False, maxIter=max_iter, predictionCol="_p")
+                else:
+                    est = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=2, seed=seed, predictionCol="_p")
                 fit = Pipeline(stages=[*mixed_features(categorical, numeric), est]).fit(rows.filter(F.col("fold") != f))
                 out = fit.transform(rows.filter(F.col("fold") == f))
                 parts.append(out.select(F.lit(set_name).alias("feature_set"), F.lit(model).alias("model"), key,
@@ -103,6 +108,123 @@ def mixed_feature_probe(df: DataFrame, key: str, label: str, sets: dict[str, tup
     return reduce(DataFrame.unionByName, parts)
 
 
+def _softmax_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, penalty: float, max_iter: int, tol: float = 1e-5) -> np.ndarray:
+    """Weighted multinomial logistic regression by L-BFGS: (features + 1) x classes, intercepts last and without penalty."""
+    n, d = x.shape
+    x = np.hstack([x, np.ones((n, 1))])
+    hot = np.eye(k)[y]
+
+    def value(v):
+        m = v.reshape(d + 1, k)
+        z = x @ m
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e.sum(axis=1, keepdims=True)
+        free = m.copy()
+        free[d] = 0
+        loss = float(w @ (np.log(total[:, 0]) - (z * hot).sum(axis=1))) / n + penalty / 2 * float((free * free).sum())
+        return loss, (x.T @ ((e / total - hot) * w[:, None]) / n + penalty * free).ravel()
+
+    v, pairs = np.zeros((d + 1) * k), []
+    f, g = value(v)
+    for _ in range(max_iter):
+        if np.abs(g).max() < tol:
+            break
+        q, back = g.copy(), []
+        for s, t, r in reversed(pairs):
+            a = r * (s @ q)
+            back.append(a)
+            q -= a * t
+        if pairs:
+            s, t, _ = pairs[-1]
+            q *= (s @ t) / (t @ t)
+        for (s, t, r), a in zip(pairs, reversed(back)):
+            q += (a - r * (t @ q)) * s
+        slope, step = float(g @ q), 1.0
+        while True:
+            new_f, new_g = value(v - step * q)
+            if new_f <= f - 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, t = -step * q, new_g - g
+        if step < 1e-10:
+            break
+        if s @ t > 1e-12:
+            pairs = [*pairs[-9:], (s, t, 1 / (s @ t))]
+        v, f, g = v + s, new_f, new_g
+    return v.reshape(d + 1, k)
+
+
+def _shuffled_f1(y: np.ndarray, k: int, cats: list[np.ndarray], nums: np.ndarray, folds: int, seed: int, replicate: int, C: float, max_iter: int) -> float:
+    """Macro-F1 of out-of-fold predictions after shuffle ``replicate`` of the labels; 0 leaves them as they are."""
+    if replicate:
+        y = y[np.random.default_rng([seed, replicate]).permutation(len(y))]
+    order = np.random.default_rng(seed).permutation(len(y))
+    order = order[np.argsort(y[order], kind="stable")]
+    first = np.searchsorted(y[order], np.arange(k))
+    fold = np.empty(len(y), dtype=int)
+    fold[order] = (np.arange(len(y)) - first[y[order]]) % folds
+    pred = np.zeros(len(y), dtype=int)
+    for f in range(folds):
+        train = fold != f
+        if train.all():
+            continue
+        mean, dev = (nums[train].mean(axis=0), nums[train].std(axis=0)) if nums.shape[1] else (0.0, 1.0)
+        parts = [(nums - mean) / np.where(dev > 0, dev, 1.0)]
+        for c in cats:
+            levels = np.unique(c[train])
+            parts.append((c[:, None] == levels[None, :]).astype(float))
+        x = np.hstack(parts)
+        size = np.bincount(y[train], minlength=k)
+        w = train.sum() / max(1, (size > 0).sum()) / np.maximum(size, 1)
+        m = _softmax_fit(x[train], y[train], w[y[train]], k, 1.0 / (C * train.sum()), max_iter)
+        z = x[~train] @ m[:-1] + m[-1]
+        z[:, size == 0] = -np.inf
+        pred[~train] = z.argmax(axis=1)
+    hit = np.bincount(y[y == pred], minlength=k)
+    support = np.bincount(y, minlength=k) + np.bincount(pred, minlength=k)
+    return float((2 * hit / np.maximum(support, 1))[support > 0].mean())
+
+
+def permuted_probe(df: DataFrame, key: str, label: str, sets: dict[str, tuple[list[str], list[str]]], folds: int = 5, seed: int = 42,
+                   permutations: int = 200, C: float = 1.0, max_iter: int = 5000, rows: int = 20_000) -> DataFrame:
+    """Permutation test of the logistic probe's out-of-fold macro-F1, per feature set.
+
+    Every (feature set, replicate) is fitted on its own in a task, on the labels as they are and under
+    ``permutations`` shuffles. The test uses at most ``rows`` rows, the first in hash order.
+    """
+    cats, nums = (sorted({c for s in sets.values() for c in s[i]}) for i in (0, 1))
+    picked = hash_sample_n(df.filter(F.col(label).isNotNull()).select(key, label, *cats, *nums), key, rows, seed)
+    entry = F.struct(F.col(key).alias("id"), F.col(label).cast("string").alias("y"),
+                     F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cats]).cast("array<string>").alias("c"),
+                     F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) for c in nums]).cast("array<double>").alias("v"))
+    chunk = 5
+    table = picked.agg(F.sort_array(F.collect_list(entry)).alias("rows"))  # at most ``rows`` entries
+    jobs = table.select("rows", F.explode(F.array(*[F.lit(s) for s in sets])).alias("feature_set")).select(
+        "rows", "feature_set", F.explode(F.sequence(F.lit(0), F.lit(permutations // chunk))).alias("part"))
+    jobs = jobs.repartition(len(sets) * (permutations // chunk + 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part, entries in zip(pdf["feature_set"], pdf["part"], pdf["rows"]):
+                out = []
+                if len(entries):
+                    classes, y = np.unique([e["y"] for e in entries], return_inverse=True)
+                    use_c, use_v = [cats.index(c) for c in sets[name][0]], [nums.index(c) for c in sets[name][1]]
+                    coded = [np.unique([e["c"][i] for e in entries], return_inverse=True)[1] for i in use_c]
+                    v = np.array([[e["v"][i] for i in use_v] for e in entries], dtype=float).reshape(len(entries), len(use_v))
+                    for rep in range(part * chunk, min((part + 1) * chunk, permutations + 1)):
+                        out.append((name, rep, _shuffled_f1(y, len(classes), coded, v, folds, seed, rep, C, max_iter)))
+                yield pd.DataFrame(out, columns=["feature_set", "replicate", "f1"])
+
+    f1 = materialise(jobs.mapInPandas(run, "feature_set string, replicate int, f1 double"))
+    seen = f1.filter("replicate = 0").select("feature_set", F.col("f1").alias("_seen"))
+    null = f1.filter("replicate > 0").join(seen, "feature_set")
+    return null.groupBy("feature_set").agg(
+        F.avg("f1").alias("perm_macro_f1_mean"), F.percentile("f1", 0.99).alias("perm_macro_f1_p99"),
+        ((1 + F.count_if(F.col("f1") >= F.col("_seen"))) / (F.count(F.lit(1)) + 1)).alias("perm_p"), F.count(F.lit(1)).alias("permutations"))
+
+
 def ridge_cv_r2(df: DataFrame, key: str, vec: str, target: str, alphas: list[float], folds: int = 5, seed: int = 42) -> DataFrame:
     """Cross-validated R2 of a linear prediction of ``target`` from vectors, per alpha, best flagged.
 

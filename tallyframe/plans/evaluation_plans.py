@@ -180,7 +180,7 @@ def _(t):
 def _(t):
     by = ["scheme", "subset", "version"]
     p = version_predictions(t)
-    m = ev.accuracy_macro_f1(p, "truth", "pred", by).join(st.bootstrap_ci(p, "truth", "pred", 500, 42, by), by)
+    m = ev.accuracy_macro_f1(p, "truth", "pred", by).join(st.bootstrap_ci(p, "truth", "pred", 1000, 42, by), by)
     c = st.chance_levels(t.embeddings, "label")
     n = t.embeddings.agg(F.count(F.lit(1)).alias("n"))
     chance = c.select(F.inline(F.array(

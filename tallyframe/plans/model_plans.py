@@ -19,7 +19,7 @@ def _(t):
     return ev.accuracy_macro_f1(s, "label", "pred", ["split"])
 
 
-def out_of_fold(t, max_iter: int = 50):
+def out_of_fold(t, max_iter: int = 5000):
     return mo.cv_out_of_fold(t.embeddings, "vec_id", "embedding", "label", folds=5, seed=42, max_iter=max_iter)
 
 
@@ -29,19 +29,26 @@ def _(t):
     return s.select("vec_id", "fold", "label", "pred")
 
 
+#: All features, without the numbers' companion, one kind of number, the names alone, and all with one more name.
+FEATURE_SETS = {"numbers": ([], ["n_chars", "n_lines"]), "all": (["source"], ["n_chars", "n_lines"]), "size": ([], ["n_chars"]),
+                "source": (["source"], []), "all_and_shape": (["source", "shape"], ["n_chars", "n_lines"])}
+
+
 @query("mixed_feature_probe")
 def _(t):
     docs = t.documents.select("doc_id", "lang", "source", "n_chars", F.size(F.split("text", "\n")).alias("n_lines"))
     docs = docs.withColumn("n_chars", F.col("n_chars").cast("double")).withColumn("n_lines", F.col("n_lines").cast("double"))
-    sets = {"numbers": ([], ["n_chars", "n_lines"]), "all": (["source"], ["n_chars", "n_lines"])}
-    p = mo.mixed_feature_probe(docs, "doc_id", "lang", sets, ["logistic", "forest"], folds=3, seed=42, trees=20, max_iter=30)
-    return ev.accuracy_macro_f1(p, "truth", "pred", ["feature_set", "model"])
+    docs = docs.withColumn("shape", F.when(F.col("n_lines") > 1, "lines").otherwise("one line"))
+    p = mo.mixed_feature_probe(docs, "doc_id", "lang", FEATURE_SETS, ["logistic", "forest"], folds=5, seed=42, trees=200, max_iter=5000)
+    scores = ev.accuracy_macro_f1(p, "truth", "pred", ["feature_set", "model"])
+    null = mo.permuted_probe(docs, "doc_id", "lang", FEATURE_SETS, folds=5, seed=42, permutations=200).withColumn("model", F.lit("logistic"))
+    return scores.join(null, ["feature_set", "model"], "left")
 
 
 @query("ridge_cv_r2")
 def _(t):
     e = t.embeddings.select("vec_id", F.slice("embedding", 2, 63).alias("rest"), F.get("embedding", F.lit(0)).cast("double").alias("target"))
-    return mo.ridge_cv_r2(e, "vec_id", "rest", "target", [0.1, 1.0, 10.0], folds=5)
+    return mo.ridge_cv_r2(e, "vec_id", "rest", "target", [10 ** (i / 2 - 3) for i in range(13)], folds=5)
 
 
 @query("platt_compare")
@@ -59,14 +66,16 @@ def _(t):
 
 @query("variant_scores_retrained")
 def _(t):
-    """The retrained scheme: out-of-fold predictions on each version of the vectors, long form."""
+    """The retrained scheme: out-of-fold predictions on each version of the vectors and each subset of the rows, long form."""
     parts = None
-    for i, version in enumerate(("original", "subject_only")):
-        e = t.embeddings.select("vec_id", "label", F.slice("embedding", 1 + 32 * i, 32).alias("v"))
-        s = mo.cv_out_of_fold(e, "vec_id", "v", "label", folds=3, seed=42, max_iter=30)
-        s = s.select(F.lit("B_retrained_cv").alias("scheme"), F.lit(version).alias("version"), F.col("label").alias("truth"), ev.topk_labels("probs", 1)[0]["label"].alias("pred"))
-        parts = s if parts is None else parts.unionByName(s)
-    return ev.accuracy_macro_f1(parts, "truth", "pred", ["scheme", "version"])
+    for subset, keep in (("all", F.lit(True)), ("clean", F.get("embedding", F.lit(63)) <= 0)):
+        for version, first in (("original", 1), ("subject_only", 33), ("subject_erased", 17)):
+            e = t.embeddings.filter(keep).select("vec_id", "label", F.slice("embedding", first, 32).alias("v"))
+            s = mo.cv_out_of_fold(e, "vec_id", "v", "label", folds=5, seed=42, max_iter=5000)
+            s = s.select(F.lit("B_retrained_cv").alias("scheme"), F.lit(subset).alias("subset"), F.lit(version).alias("version"),
+                         F.col("label").alias("truth"), ev.topk_labels("probs", 1)[0]["label"].alias("pred"))
+            parts = s if parts is None else parts.unionByName(s)
+    return ev.accuracy_macro_f1(parts, "truth", "pred", ["scheme", "subset", "version"])
 
 
 @query("cluster_silhouette")

@@ -112,8 +112,18 @@ o as (select sum(n * (m - mm) * (m - mm)) / max(tot) as value from (select c, co
 select round_even(max(value), 6) as value, round_even(avg(stat), 6) as null_mean, round_even(quantile_cont(stat, 0.99), 6) as null_p99,
  round_even((1 + count(*) filter (stat >= value)) / (count(*) + 1), 6) as perm_p, count(*) as replicates from s, o""".replace("sum(count(*)) over (order by c) as hi, sum(count(*)) over (order by c) - count(*) as lo from b group by 1", "sum(n) over (order by c) as hi, sum(n) over (order by c) - n as lo from (select c, count(*) as n from b group by 1)"))
 def _(t):
+    return _permuted_price(t, 20)
+
+
+@query("permutation_null_full")
+def _(t):
+    """All 1,000 shuffles; the SQL above draws 20."""
+    return _permuted_price(t, 1000)
+
+
+def _permuted_price(t, replicates: int):
     part = t.part.select("p_partkey", "p_type", "p_retailprice")
-    null = st.permuted_eta(part, "p_retailprice", "p_type", "p_partkey", 20, 42)
+    null = st.permuted_eta(part, "p_retailprice", "p_type", "p_partkey", replicates, 42)
     seen = st.eta_table(part, ["p_retailprice"], "p_type")
     s = st.permutation_summary(null, seen)
     return s.select(*[r6(c).alias(c) for c in ("value", "null_mean", "null_p99", "perm_p")], "replicates")
@@ -122,12 +132,12 @@ def _(t):
 @query("permutation_null_categorical")
 def _(t):
     docs = t.documents.select("lang", "source")
-    return st.permutation_summary(st.permuted_cramers(docs, "lang", "source", 200, 42), st.cramers_table(docs, ["lang"], "source"))
+    return st.permutation_summary(st.permuted_cramers(docs, "lang", "source", 1000, 42), st.cramers_table(docs, ["lang"], "source"))
 
 
 @query("bootstrap_ci")
 def _(t):
-    return st.bootstrap_ci(scored(t), "truth", "pred", 500, 42)
+    return st.bootstrap_ci(scored(t), "truth", "pred", 1000, 42)
 
 
 @query("chance_levels", """

@@ -224,7 +224,17 @@ p as (select vec_id, m, 1 / (1 + exp(-sum(x * w * bit))) as p from d join k usin
 i as (select vec_id, j, sum(p * bit) / greatest(sum(bit), 1e-6) as importance from p join k using (m) group by all)
 select vec_id, cast(j as integer) as feature, round_even(importance, 6) as importance from i""")
 def _(t):
-    imp = ve.occlusion_importance(t.embeddings, "vec_id", "embedding", _MASK_W, 32, 0.5, 42)
+    return _importance(t, 32)
+
+
+@query("occlusion_importance_full")
+def _(t):
+    """All 400 masks; the SQL above uses 32."""
+    return _importance(t, 400)
+
+
+def _importance(t, masks: int):
+    imp = ve.occlusion_importance(t.embeddings, "vec_id", "embedding", _MASK_W, masks, 0.5, 42)
     return imp.select("vec_id", F.posexplode("importance").alias("feature", "importance")).withColumn("importance", r6("importance"))
 
 

@@ -1,5 +1,7 @@
 """Vectors, statistics with replicates and model fits: brute force and invariants."""
 
+import os
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyframe.operators import evaluate, models, stats, vectors
 from tallyframe.streaming import logs
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 @pytest.fixture(scope="module")
 def points(spark):
@@ -202,6 +206,47 @@ def test_ridge_finds_a_linear_target(points):
     assert best[0.01][0] > 0.99 and best[0.01][1] and not best[1000.0][1]
 
 
+def test_permutation_test_of_the_probe_sees_a_dependence_and_none(spark):
+    rng = np.random.default_rng(5)
+    rows_ = [(i, "abc"[i % 3], f"s{i % 3 if rng.random() < 0.6 else rng.integers(3)}", float(rng.normal())) for i in range(240)]
+    df = spark.createDataFrame(rows_, "id long, label string, s string, x double")
+    got = {r["feature_set"]: r for r in models.permuted_probe(df, "id", "label", {"tied": (["s"], ["x"]), "free": ([], ["x"])}, permutations=40).collect()}
+    assert got["tied"]["permutations"] == got["free"]["permutations"] == 40
+    assert got["tied"]["perm_p"] == 1 / 41 and got["free"]["perm_p"] > 1 / 41
+    assert 0.2 < got["tied"]["perm_macro_f1_mean"] < 0.45
+
+
+def test_registered_counts_are_those_of_the_reference(spark, monkeypatch):
+    from tallyframe.operators import stats as st
+    from tallyframe.operators import vectors as ve
+    from tallyframe.plans import load_all
+    from tallyframe.plans.registry import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    load_all()
+
+    def count_of(module, name, at, q):
+        def stop(*a, **k):
+            raise Seen(k[at] if isinstance(at, str) else a[at])
+
+        monkeypatch.setattr(module, name, stop)
+        with pytest.raises(Seen) as e:
+            QUERIES[q](spark, SF)
+        monkeypatch.undo()
+        return e.value.args[0]
+
+    assert count_of(st, "permuted_eta", 4, "permutation_null_full") == 1000
+    assert count_of(st, "permuted_cramers", 3, "permutation_null_categorical") == 1000
+    assert count_of(st, "bootstrap_ci", 3, "bootstrap_ci") == count_of(st, "bootstrap_ci", 3, "variant_scores") == 1000
+    assert count_of(ve, "occlusion_importance", 4, "occlusion_importance_full") == 400
+    assert len(count_of(models, "ridge_cv_r2", 4, "ridge_cv_r2")) == 13
+    assert count_of(models, "mixed_feature_probe", "trees", "mixed_feature_probe") == 200
+    assert count_of(models, "cv_out_of_fold", "folds", "variant_scores_retrained") == 5
+    assert count_of(models, "cv_out_of_fold", "max_iter", "cv_out_of_fold") == 5000
+
+
 def test_projection_skips_vectors_that_are_not_finite(spark, points):
     _, _, df = points
     fit = models.project_2d(df, "v")
