@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..core.scale import exact_quantiles, join_small
+from ..core.scale import exact_quantiles, join_small, range_rank
+from ..core.session import materialise
 
 BROADCAST_BYTES = 32 << 20  # query or class matrices up to this size travel to the tasks as they are
 QUERY_BLOCK = 16_384
 CORPUS_BLOCK = 65_536
+SCORE_BLOCK = 2_048  # rows and classes of a block of scores: 32 MiB
 SIMILARITY_PLACES = 12  # equal vectors tie exactly whatever their place in a block
 
 
@@ -208,15 +210,15 @@ def class_vectors(df: DataFrame, cls: str, vec: str) -> DataFrame:
     return means.groupBy(cls).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias(vec))
 
 
-def score_against(df: DataFrame, vec: str, prototypes: DataFrame, cls: str, normalise: bool = True) -> DataFrame:
+def score_against(df: DataFrame, vec: str, prototypes: DataFrame, cls: str, normalise: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``scores``: array of (label, score) of every row against one vector per class.
 
-    The class matrix is checked to be small before it travels to the tasks; for more classes
-    than that use ``cosine_topk`` with the prototypes as the corpus.
+    A class matrix of checked small size travels to the tasks and the rows stay in place. A larger one is cut
+    into class blocks: every (row block, class block) pair is one task, and a row's pieces are put together again.
     """
     size = prototypes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
-    if size["n"] * size["d"] * 8 > BROADCAST_BYTES:
-        raise ValueError("too many classes for a score per class; use cosine_topk on the prototypes")
+    if size["n"] * size["d"] * 8 > broadcast_bytes:
+        return _score_blocks(df, vec, prototypes, cls, normalise, max(1, min(SCORE_BLOCK, broadcast_bytes // (size["d"] * 8))))
     rows = prototypes.orderBy(cls).select(cls, F.col(vec).cast("array<double>").alias("v")).toPandas()
     labels, m = rows[cls].tolist(), _matrix(rows["v"])
     m = _unit(m) if normalise else m
@@ -231,6 +233,31 @@ def score_against(df: DataFrame, vec: str, prototypes: DataFrame, cls: str, norm
     return df.withColumn("scores", F.zip_with(names, score(F.col(vec).cast("array<double>")), lambda a, b: F.struct(a.alias("label"), b.alias("score"))))
 
 
+def _score_blocks(df: DataFrame, vec: str, prototypes: DataFrame, cls: str, normalise: bool, width: int) -> DataFrame:
+    """``score_against`` for any number of classes, in blocks of ``width`` classes and some ``SCORE_BLOCK`` rows."""
+    classes = materialise(range_rank(prototypes.select(cls, F.col(vec).cast("array<double>").alias("v")), [F.col(cls)]).select(
+        F.col(cls).alias("c"), "v", (F.col("rank") - 1).alias("place"), F.floor((F.col("rank") - 1) / width).cast("int").alias("block")))
+    blocks = -(-classes.count() // width)
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    pieces = max(1, -(-rows.count() // SCORE_BLOCK))
+    left = rows.select("_row", F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64("_row"), F.lit(pieces)).cast("int").alias("piece"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = classes.select("place", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"))
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_row": [], "block": [], "s": []})
+        m = _matrix(b.sort_values("place")["v"])
+        m = _unit(m) if normalise else m
+        return pd.DataFrame({"_row": a["_row"], "block": a["block"], "s": list(_matrix(a["v"]) @ m.T)})
+
+    parts = left.groupBy("piece", "block").cogroup(right.groupBy("piece", "block")).applyInPandas(pair, "_row bigint, block int, s array<double>")
+    whole = parts.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "s"))), lambda p: p["s"])).alias("_s"))
+    names = classes.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "c"))), lambda p: p["c"]))  # what every row of the result holds
+    scored = rows.join(whole, "_row").withColumn("_names", names.scalar())
+    return scored.select(*df.columns, F.zip_with("_names", "_s", lambda a, b: F.struct(a.alias("label"), b.alias("score"))).alias("scores"))
+
+
 def distance(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     sq = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -269,11 +296,20 @@ def nearest_other_centroid(centroids: DataFrame, cls: str) -> DataFrame:
 
 # ---------------------------------------------------------------- fingerprints
 def fingerprint(vec: Column | str) -> Column:
-    """64-bit fingerprint: bit i is set where element i exceeds the median of elements 2 and up."""
-    v = F.slice(F.col(vec) if isinstance(vec, str) else vec, 1, 64)
+    """64-bit fingerprint: bit i is set where the mean of segment i exceeds the median of segments 2 and up.
+
+    The vector is cut into 64 even segments, so every element takes part; of 64 elements each is a segment.
+    Shorter vectors are refused.
+    """
+    whole = F.col(vec) if isinstance(vec, str) else vec
+    n = F.size(whole)
+    edge = lambda i: F.floor(i * n / 64).cast("int")
+    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(part)
+    means = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: mean(F.slice(whole, edge(i) + 1, edge(i + 1) - edge(i))))
+    v = F.when(n >= 64, means).when(whole.isNotNull(), F.raise_error(F.lit("a fingerprint needs 64 elements or more")).cast("array<double>"))
     tail = F.sort_array(F.slice(v, 2, 63))
-    threshold = F.get(tail, F.lit(31)).cast("double")  # the middle of 63
-    bits = F.transform(v, lambda x, i: F.when(x.cast("double") > threshold, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    threshold = F.get(tail, F.lit(31))  # the middle of 63
+    bits = F.transform(v, lambda x, i: F.when(x > threshold, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))
 
 

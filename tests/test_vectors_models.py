@@ -143,6 +143,36 @@ def test_nulls_are_near_chance_and_reproducible(spark):
     assert len(n) == 50 and n.mean() < 0.12
 
 
+def test_fingerprint_reads_every_element(spark):
+    r = np.random.default_rng(11)
+    long = r.normal(size=768)
+    other = long.copy()
+    other[64:] = r.normal(size=704)
+    short = r.normal(size=64)
+    vecs = [long, other, short]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(3, None)], "id int, v array<double>")
+    got = {x["id"]: x["f"] for x in df.select("id", vectors.fingerprint("v").alias("f")).collect()}
+    for i, v in enumerate(vecs):
+        m = v.reshape(64, -1).mean(axis=1)
+        assert got[i] & (1 << 64) - 1 == sum(1 << j for j in range(64) if m[j] > np.sort(m[1:])[31])
+    assert got[3] is None and got[0] != got[1]
+    with pytest.raises(Exception, match="64 elements"):
+        spark.createDataFrame([([1.0] * 63,)], "v array<double>").select(vectors.fingerprint("v").alias("f")).collect()
+
+
+def test_scores_against_many_classes_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    m, p = r.normal(size=(70, 6)), r.normal(size=(23, 6))
+    df = spark.createDataFrame([(i % 50, [float(x) for x in v]) for i, v in enumerate(m)], "id int, v array<double>")
+    protos = spark.createDataFrame([(f"c{i}", [float(x) for x in v]) for i, v in enumerate(p)], "label string, v array<double>")
+    whole = vectors.score_against(df, "v", protos, "label").collect()
+    monkeypatch.setattr(vectors, "SCORE_BLOCK", 16)
+    cut = vectors.score_against(df, "v", protos, "label", broadcast_bytes=6 * 8 * 5)
+    assert cut.columns == ["id", "v", "scores"]
+    flat = lambda rows_: sorted((x["id"], tuple(x["v"]), tuple((s["label"], round(s["score"], 9)) for s in x["scores"])) for x in rows_)
+    assert flat(cut.collect()) == flat(whole) and len(whole[0]["scores"]) == 23
+
+
 def test_bootstrap_covers_the_point(spark):
     r = np.random.default_rng(2)
     y = r.integers(0, 4, 500)
