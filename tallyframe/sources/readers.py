@@ -38,9 +38,12 @@ def json_fields(df: DataFrame, column: str, schema: str, keep: list[str]) -> Dat
     return parsed.select(*keep, "_j.*")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, literal_na: bool = False) -> DataFrame:
-    """CSV with a header. By default '' and 'NA' are null; ``literal_na`` keeps both as text."""
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: str, literal_na: bool = False, multi_line: bool = False) -> DataFrame:
+    """CSV with a header. By default '' and 'NA' are null; ``literal_na`` keeps both as text.
+
+    A file is split into tasks; ``multi_line`` allows line breaks inside quotes and makes a file one task.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
     if literal_na:
         return reader.option("nullValue", "\u0000").option("emptyValue", "").csv(path).na.fill("")
     df = reader.option("nullValue", "").csv(path)

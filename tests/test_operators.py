@@ -168,6 +168,22 @@ def test_csv_keeps_text_na(spark, tmp_path):
     assert lit == ["NA", "", 'q "z", w'] and dflt == [None, None, 'q "z", w']
 
 
+def test_csv_files_are_split(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text("a,b\n" + "".join(f"row {i},{i}\n" for i in range(20_000)))
+    q = tmp_path / "y.csv"
+    q.write_text('a,b\n"two\nlines",1\n')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = readers.read_csv(spark, str(p), "a string, b int")
+        assert df.rdd.getNumPartitions() > 2
+        assert tuple(df.agg(F.count("a"), F.sum("b")).first()) == (20_000, sum(range(20_000)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert readers.read_csv(spark, str(q), "a string, b int", multi_line=True).first()["a"] == "two\nlines"
+
+
 def test_nested_json_records(spark, tmp_path):
     p = tmp_path / "r.json"
     p.write_text('{"key":1,"issues":["A","B"],"media":[{"identifier":"https://www.x.org/1"},{"identifier":"https://y.org/2"}]}\n{"key":2,"media":[]}\n{"key":3}\n')
