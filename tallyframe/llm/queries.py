@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import latent_leaks, license_scan, packing, page_text, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
+from . import conversations, latent_leaks, lexical, license_scan, mixing, packing, page_text, repeats, risk_rules, rule_ensemble, sharding, simhash, token_files
 from .common import scratch, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(tables(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "conversations")
+    return conversations.audits(rows, conversations.damaged(rows))
+
+
+@query("op12_lexical_search", """
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sized AS (SELECT row_number() OVER () AS r, doc_id, terms, len(terms)::BIGINT AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sized),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY term, docs),
+scored AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term), totals GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"), 10)
+
+
+@query("op13_subset_sum_mix")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
