@@ -3,7 +3,7 @@
 * ``hash_rank``       exact rank by seeded hash inside groups, without a window over a whole group
 * ``range_rank``      exact global rank by any order, without a single-task window
 * ``running``         running sums and maxima per key, split into time chunks
-* ``exact_quantiles`` interpolated quantiles per group; only cells are shuffled, never a whole group
+* ``exact_quantiles`` interpolated quantiles per group by radix selection; only counts are shuffled, never a whole group
 * ``join_small``      broadcast only after the small side was counted
 """
 
@@ -196,11 +196,22 @@ def running(
     return out.drop("_chunk", *extra)
 
 
-def _cell(value: Column) -> Column:
-    """Monotone cell number of a double: 4,096 cells per power of two, zero in the middle, infinities at the ends."""
-    size = F.floor(F.log2(F.abs(value)) * 4096) + F.lit(5_000_000)
-    end = F.lit(20_000_000).cast("long")
-    return F.when(value == float("inf"), end).when(value == float("-inf"), -end).when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+QUANTILE_ROWS = 1_000_000  # values that one task may put in order; more are narrowed by radix first
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a 64-bit integer of the same order: the bits of its size, negated for negative numbers.
+
+    Dividing by a power of two and scaling the rest are exact, so equal keys mean equal numbers (zeros are one).
+    """
+    size = F.abs(value)
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    over = size / F.pow(F.lit(2.0), guess)  # the logarithm may be one off next to a power of two
+    power = guess + F.when(over >= 2, 1.0).when((over < 1) & (guess > -1022), -1.0).otherwise(0.0)
+    unit = F.lit(1 << 52).cast("long")
+    bits = (power + 1022).cast("long") * unit + (size / F.pow(F.lit(2.0), power) * float(1 << 52)).cast("long")
+    bits = F.when(value == 0, F.lit(0).cast("long")).when(size == float("inf"), F.lit(2047).cast("long") * unit).otherwise(bits)
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def exact_quantiles(
@@ -208,53 +219,49 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: columns ``groups``, ``name``, ``prob``, ``value``, ``n``.
 
-    Pass 1 counts values per cell of a fixed monotone grid (partial aggregation, so a group that
-    holds a third of all rows shuffles cells, not rows). The cumulative counts say which cell holds
-    each wanted rank. Pass 2 counts the distinct values inside those cells only and picks the rank.
-    Null keys and null values are left out; every group with at least one value gets a row.
+    Radix selection. The values are written once as a narrow table with an order-preserving integer each. A round counts
+    rows by the integer's next 16 bits inside the cells that hold a wanted rank (all of a group at first), so what is
+    shuffled are at most 65,536 counts per cell and task, whatever the range of the values and the size of a group. When no
+    cell holds more than ``QUANTILE_ROWS`` rows, and in the fourth round at the latest, the counts are by value.
+    Null keys, null values and NaN are left out; every group with at least one value gets a row per probability.
     """
     groups, probs = list(groups), list(probs)
-    melted = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
-    long = df
-    for g in groups:
-        long = long.filter(F.col(g).isNotNull())
-    long = (
-        long.select(*groups, melted.alias("_m"))
-        .select(*groups, "_m.name", F.col("_m.v").alias("v"))
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .withColumn("_k", _cell(F.col("v")))
-    )
     keys = groups + ["name"]
-    cells = long.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_n"))
-    per = Window.partitionBy(*keys)
-    cells = cells.withColumn("_end", F.sum("_n").over(per.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)))
-    cells = cells.withColumn("n", F.sum("_n").over(per))
+    melted = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
+    long = df.dropna(subset=groups) if groups else df
+    long = long.select(*groups, melted.alias("_m")).select(*groups, "_m.name", F.col("_m.v").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    long = materialise(long.withColumn("_b", ordered_bits(F.col("v"))))
+
+    def cell(bits: int) -> Column:
+        return F.shiftright("_b", bits)
+
+    def counted(rows: DataFrame, bits: int, *within: str) -> DataFrame:
+        """Counts per cell of ``bits`` bits, and the rows of the cells up to each one."""
+        per = Window.partitionBy(*keys, *within)
+        cells = rows.groupBy(*keys, *within, cell(bits).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.max("v").alias("v"))
+        return cells.withColumn("_end", F.sum("_n").over(per.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_n").over(per))
+
+    bits = 48 if long.count() > QUANTILE_ROWS else 0
+    cells = counted(long, bits)
     wanted = []
     for p in probs:
         at = F.lit(float(p)) * (F.col("n") - 1)
         for rank, low in ((F.floor(at), True), (F.ceil(at), False)):
-            wanted.append(
-                F.struct(
-                    F.lit(float(p)).alias("prob"), F.lit(low).alias("low"),
-                    rank.alias("rank"), (at - F.floor(at)).alias("frac"),
-                )
-            )
+            wanted.append(F.struct(F.lit(float(p)).alias("prob"), F.lit(low).alias("low"), rank.alias("rank"), (at - F.floor(at)).alias("frac")))
     inside = lambda s: (s["rank"] >= F.col("_end") - F.col("_n")) & (s["rank"] < F.col("_end"))
-    targets = (
-        cells.select(*keys, "_k", "n", (F.col("_end") - F.col("_n")).alias("_start"),
-                     F.explode(F.filter(F.array(*wanted), inside)).alias("_w"))
-        .select(*keys, "_k", "n", "_w.prob", "_w.low", "_w.frac", (F.col("_w.rank") - F.col("_start")).alias("_at"))
-    )
-    targets = materialise(targets)
-    small = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda d: d)
-    hit = long.join(hint(targets.select(*keys, "_k").distinct()), keys + ["_k"], "left_semi")
-    vals = hit.groupBy(*keys, "_k", "v").agg(F.count(F.lit(1)).alias("_c"))
-    in_cell = Window.partitionBy(*keys, "_k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vals = vals.withColumn("_to", F.sum("_c").over(in_cell))
-    picked = vals.join(hint(targets), keys + ["_k"]).filter(
-        (F.col("_at") >= F.col("_to") - F.col("_c")) & (F.col("_at") < F.col("_to"))
-    )
+    at_hand = [*keys, "_k", "_n", "v", "n"]
+    picked = cells.select(*at_hand, (F.col("_end") - F.col("_n")).alias("_start"), F.explode(F.filter(F.array(*wanted), inside)).alias("_w"))
+    picked = picked.select(*at_hand, "_w.prob", "_w.low", "_w.frac", (F.col("_w.rank") - F.col("_start")).alias("_at"))
+    while bits:
+        picked = materialise(picked)
+        most, rows = picked.agg(F.max("_n"), F.count(F.lit(1))).first()
+        hint = F.broadcast if rows <= BROADCAST_ROWS else (lambda d: d)
+        old = picked.select(*keys, "prob", "low", "frac", "n", "_at", F.col("_k").alias("_in"))
+        hit = long.withColumn("_in", cell(bits)).join(hint(old.select(*keys, "_in").distinct()), [*keys, "_in"], "left_semi")
+        bits = bits - 16 if most > QUANTILE_ROWS else 0
+        inner = counted(hit, bits, "_in").drop("n").join(hint(old), [*keys, "_in"])
+        inner = inner.filter((F.col("_at") >= F.col("_end") - F.col("_n")) & (F.col("_at") < F.col("_end")))
+        picked = inner.withColumn("_at", F.col("_at") - F.col("_end") + F.col("_n")).select(*at_hand, "prob", "low", "frac", "_at")
     lo, hi = F.max(F.when(F.col("low"), F.col("v"))), F.max(F.when(~F.col("low"), F.col("v")))
     return (
         picked.groupBy(*keys, "prob")

@@ -13,9 +13,8 @@ YEAR_RANGE = r"(\d{4})\s*-\s*(\d{4})"
 YEAR_SINGLE = r"(\d{4})"
 MISSING_SHOT = 9999
 
-# Block-page markers and the part of a page they are looked for in
+# Block-page markers
 CHALLENGE_MARKERS = ["Just a moment", "cf-chl", "challenges.cloudflare.com"]
-CHALLENGE_HEAD = 8192
 
 # Boxes (pixels at width 1,024)
 BOX_REFERENCE_WIDTH = 1024

@@ -289,12 +289,14 @@ def platt_apply(df: DataFrame, scores: str, params: dict, alias: str = "platt")
 
 
 def cluster_silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Silhouette of given labels for both distances of ``ClusteringEvaluator``.
+    """Silhouette of given labels of any type for squared Euclidean and cosine distance.
 
-    It measures squared Euclidean or cosine distance to cluster means in one pass, which differs
-    from the pairwise definition but needs no pairs.
+    The mean of either distance from a row to all rows of a class has a closed form in the class's sums, so
+    ``ClusteringEvaluator`` gets the pairwise silhouette in one pass without pairs. Rows without label or vector are left out.
     """
-    x = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("prediction"))
+    named = df.filter(F.col(label).isNotNull() & F.col(vec).isNotNull())
+    named = StringIndexer(inputCol=label, outputCol="prediction", stringOrderType="alphabetAsc").fit(named).transform(named)
+    x = named.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"), "prediction")
     rows = [(d, float(ClusteringEvaluator(distanceMeasure=d).evaluate(x))) for d in ("cosine", "squaredEuclidean")]
     return df.sparkSession.createDataFrame(rows, "distance string, silhouette double")
 

@@ -1,26 +1,27 @@
 """Vectors: norms, exact nearest neighbours, centroids, fingerprints.
 
-Vectors are ``array<float|double>`` columns keyed by an id. The only Python step is the matrix
-product of ``cosine_topk`` and ``score_against`` (Arrow batches to numpy).
+Vectors are ``array<float|double>`` columns keyed by an id of any type. Python steps are the matrix products of
+``cosine_topk`` and ``score_against`` and the segment means of ``fingerprint`` (Arrow batches to numpy).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .. import fixed
 from ..core.scale import exact_quantiles, join_small, range_rank
 from ..core.session import materialise
 
 BROADCAST_BYTES = 32 << 20  # query or class matrices up to this size travel to the tasks as they are
-QUERY_BLOCK = 16_384
-CORPUS_BLOCK = 65_536
 SCORE_BLOCK = 2_048  # rows and classes of a block of scores: 32 MiB
 SIMILARITY_PLACES = 12  # equal vectors tie exactly whatever their place in a block
 
@@ -61,8 +62,8 @@ def paired_cosine(a: DataFrame, b: DataFrame, key: str, vec: str, worst: int = 5
     q = exact_quantiles(pairs, [], ["cosine"], [0.0, 0.01, 0.5])
     what = F.when(F.col("prob") == 0.0, "min").when(F.col("prob") == 0.01, "p1").otherwise("median")
     low = pairs.orderBy("cosine", key).limit(worst)
-    return q.select(what.alias("what"), F.lit(None).cast("long").alias("id"), "value").unionByName(
-        low.select(F.lit("worst").alias("what"), F.col(key).cast("long").alias("id"), F.col("cosine").alias("value")))
+    return q.select(what.alias("what"), F.lit(None).cast(a.schema[key].dataType).alias("id"), "value").unionByName(
+        low.select(F.lit("worst").alias("what"), F.col(key).alias("id"), F.col("cosine").alias("value")))
 
 
 def signal_distance(a: DataFrame, b: DataFrame, key: str, vec: str, peak: float = 255.0) -> DataFrame:
@@ -99,9 +100,15 @@ def _similarity(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return np.round(s, SIMILARITY_PLACES)
 
 
+def _ids(column: pd.Series) -> np.ndarray:
+    """Ids as they are: numbers as numbers, anything else as objects that can be put in order."""
+    return column.to_numpy() if column.dtype.kind in "iuf" else column.to_numpy(dtype=object)
+
+
 def _best(qi: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int):
     """First k candidates per query by (similarity descending, id)."""
-    order = np.lexsort((ids, -s, qi))
+    place = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+    order = np.lexsort((place, -s, qi))
     qi, ids, s = qi[order], ids[order], s[order]
     first = np.r_[True, qi[1:] != qi[:-1]] if len(qi) else np.zeros(0, bool)
     place = np.arange(len(qi)) - np.maximum.accumulate(np.where(first, np.arange(len(qi)), 0)) if len(qi) else qi
@@ -113,14 +120,18 @@ def _block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     """Top k of one corpus block for every query of a block; the corpus is taken in slices that
     keep the product at a few million cells."""
     step = max(64, 4_000_000 // max(1, len(q)))
-    qi, ids, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    number = pd.Index(q_ids).unique()  # ids are numbered to find the query itself among the corpus rows
+    q_no, c_no = number.get_indexer(pd.Index(q_ids)), number.get_indexer(pd.Index(c_ids))
+    qi, ids, sims = np.zeros(0, np.int64), c_ids[:0], np.zeros(0)
     for at in range(0, len(c_ids), step):
         s = _similarity(q, c[at : at + step], metric)
-        s[q_ids[:, None] == c_ids[None, at : at + step]] = -np.inf  # the query itself
+        own = np.flatnonzero(c_no[at : at + step] >= 0)
+        if len(own):
+            s[:, own] = np.where(q_no[:, None] == c_no[at : at + step][own][None, :], -np.inf, s[:, own])
         s[np.isnan(s)] = -np.inf
         kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
         r, col = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-        qi, ids, sims = _best(np.r_[qi, r], np.r_[ids, c_ids[at : at + step][col]], np.r_[sims, s[r, col]], k)
+        qi, ids, sims = _best(np.r_[qi, r], np.concatenate([ids, c_ids[at : at + step][col]]), np.r_[sims, s[r, col]], k)
     return qi, ids, sims
 
 
@@ -128,50 +139,39 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int = 5, metric: str = "cosine",
-                query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, key: str, vec: str, k: int = 5, metric: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k most similar corpus rows of every query: (query_id, neighbour_id, similarity, rank).
 
-    Exact; ids are bigint, the query itself is excluded and ties go to the lower id. A query set of checked small
-    size travels to the tasks, and the corpus is scanned in place without a shuffle. A larger one
-    is cut into blocks: every (query block, corpus block) pair is one task that returns k rows per
-    query, so no pair of rows is ever emitted. ``metric`` is cosine or euclidean (negative distance).
+    Exact, for ids of any type that has an order; rows without id or vector are left out, the query itself is excluded and
+    ties go to the lower id. Queries travel to the tasks, ``broadcast_bytes`` at a time, and the corpus is scanned where
+    it lies: a task keeps its k best per query, so neither the corpus nor a pair of rows is ever shuffled. With more
+    queries than travel at once, each round's result is a table. ``metric`` is cosine or euclidean (negative distance).
     """
-    q = queries.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
-    c = corpus.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
+    own = lambda df: df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null and id is not null")
+    q, c = own(queries), own(corpus)
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    schema = "query_id bigint, neighbour_id bigint, similarity double"
-    if size["n"] * size["d"] * 8 <= broadcast_bytes:
-        rows = q.orderBy("id").toPandas()
-        shared = q.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(np.int64), _matrix(rows["v"])))
+    rounds = max(1, -(-size["n"] * size["d"] * 8 // broadcast_bytes))
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind(q)}, neighbour_id {kind(c)}, similarity double"
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
+    parts = []
+    for turn in range(rounds):
+        rows = q.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn).toPandas()  # about broadcast_bytes
+        shared = q.sparkSession.sparkContext.broadcast((_ids(rows["id"]), _matrix(rows["v"])))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             q_ids, qm = shared.value
-            qi, ids, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            qi, ids, sims = np.zeros(0, np.int64), None, np.zeros(0)
             for pdf in batches:
                 if len(q_ids) and len(pdf):
-                    r, n, s = _block_topk(q_ids, qm, pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]), k, metric)
-                    qi, ids, sims = _best(np.r_[qi, r], np.r_[ids, n], np.r_[sims, s], k)
-            yield pd.DataFrame({"query_id": q_ids[qi], "neighbour_id": ids, "similarity": sims})
+                    r, n, s = _block_topk(q_ids, qm, _ids(pdf["id"]), _matrix(pdf["v"]), k, metric)
+                    qi, ids, sims = _best(np.r_[qi, r], n if ids is None else np.concatenate([ids, n]), np.r_[sims, s], k)
+            found = q_ids[:0] if ids is None else ids
+            yield pd.DataFrame({"query_id": pd.Series(q_ids[qi], dtype=q_ids.dtype), "neighbour_id": pd.Series(found, dtype=found.dtype), "similarity": sims})
 
-        partial = c.mapInPandas(scan, schema)
-    else:
-        n_c = c.count()
-        nq, nc = -(-size["n"] // query_block), max(1, -(-n_c // corpus_block))
-        side = lambda d, own, n_own, other, n_other: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-        left, right = side(q, "qb", nq, "cb", nc), side(c, "cb", nc, "qb", nq)
-
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
-            ids = a["id"].to_numpy(np.int64)
-            r, n, s = _block_topk(ids, _matrix(a["v"]), b["id"].to_numpy(np.int64), _matrix(b["v"]), k, metric)
-            return pd.DataFrame({"query_id": ids[r], "neighbour_id": n, "similarity": s})
-
-        partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        best = c.mapInPandas(scan, schema).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        parts.append(best if rounds == 1 else materialise(best))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def similar_cards(top: DataFrame, meta: DataFrame, key: str, columns: list[str], link: str) -> DataFrame:
@@ -289,28 +289,35 @@ def pair_separation(centroids: DataFrame, pairs: DataFrame, cls: str) -> DataFra
 
 def nearest_other_centroid(centroids: DataFrame, cls: str) -> DataFrame:
     """Closest other class of every class, by the exact block search over centroids."""
-    ids = centroids.select(F.col(cls).cast("bigint").alias("id"), F.col("centroid").alias("v"))
+    ids = centroids.select(F.col(cls).alias("id"), F.col("centroid").alias("v"))
     top = cosine_topk(ids, ids, "id", "v", k=1, metric="euclidean")
     return top.select(F.col("query_id").alias(cls), F.col("neighbour_id").alias("nearest"), (-F.col("similarity")).alias("distance"))
 
 
 # ---------------------------------------------------------------- fingerprints
+@F.pandas_udf(LongType())
+def _fingerprints(vectors: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(vectors), dtype="Int64")
+    sizes = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+    for n in np.unique(sizes[sizes >= 0]):
+        if n < 64:
+            raise ValueError("a fingerprint needs 64 elements or more")
+        at = np.flatnonzero(sizes == n)
+        edges = np.arange(65) * n // 64
+        means = np.add.reduceat(_matrix(vectors.iloc[at]), edges[:-1], axis=1) / np.diff(edges)
+        middle = np.partition(means[:, 1:], 31, axis=1)[:, 31]  # of 63
+        bits = (means > middle[:, None]) << np.arange(64, dtype=np.uint64)
+        out.iloc[at] = np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+    return out
+
+
 def fingerprint(vec: Column | str) -> Column:
     """64-bit fingerprint: bit i is set where the mean of segment i exceeds the median of segments 2 and up.
 
     The vector is cut into 64 even segments, so every element takes part; of 64 elements each is a segment.
-    Shorter vectors are refused.
+    Shorter vectors are refused; a null vector has a null fingerprint. One pass in Arrow batches.
     """
-    whole = F.col(vec) if isinstance(vec, str) else vec
-    n = F.size(whole)
-    edge = lambda i: F.floor(i * n / 64).cast("int")
-    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(part)
-    means = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: mean(F.slice(whole, edge(i) + 1, edge(i + 1) - edge(i))))
-    v = F.when(n >= 64, means).when(whole.isNotNull(), F.raise_error(F.lit("a fingerprint needs 64 elements or more")).cast("array<double>"))
-    tail = F.sort_array(F.slice(v, 2, 63))
-    threshold = F.get(tail, F.lit(31))  # the middle of 63
-    bits = F.transform(v, lambda x, i: F.when(x > threshold, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))
+    return _fingerprints(vec)
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
@@ -318,30 +325,52 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _band_keys(fp: Column, blocks: int, distance: int) -> Column:
-    """Keys of all combinations of blocks that must agree if at most ``distance`` bits differ."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = []
-    for i, combo in enumerate(combinations(masks, blocks - distance)):
-        keys.append(F.struct(F.lit(i).alias("c"), fp.bitwiseAND(F.lit(signed(sum(combo))).cast("bigint")).alias("k")))
-    return F.array(*keys)
+def _agreeing(bits: list[int], blocks: int, limit: int) -> list[int]:
+    """Masks (as signed numbers) over bits dealt in turn to blocks: words at most ``limit`` apart agree under one at least."""
+    masks = [sum(1 << b for b in bits[i::blocks]) for i in range(blocks)]
+    whole = [sum(c) for c in combinations(masks, blocks - limit)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in whole]
+
+
+def block_count(n: int, limit: int, information: float = 64.0) -> int:
+    """Blocks with the least work for two sets of ``n`` fingerprints of so many random bits: keys made, and pairs that meet by chance."""
+    def work(blocks: int) -> float:
+        ways = comb(blocks, limit)
+        return ways * n * (1 + n / 2.0 ** (information * (blocks - limit) / blocks))
+
+    return min(range(limit + 1, min(limit + 7, 64)), key=work)
+
+
+def _meetings(left: DataFrame, right: DataFrame, limit: int, blocks: int | None = None) -> DataFrame:
+    """Pairs ``_f, _g`` of fingerprints that meet under some key (``right`` keeps its other columns); all within ``limit`` bits are among them.
+
+    How often each bit is set says how much it tells apart; the bits are dealt to the blocks from the best one down, so
+    bits that all fingerprints share do not fill a block.
+    """
+    bit = lambda i: F.shiftright("_g", i).bitwiseAND(F.lit(1).cast("bigint"))
+    n, *ones = right.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(bit(i)), F.lit(0)) for i in range(64)]).first()
+    share = np.clip(np.array(ones) / max(n, 1), 1e-12, 1 - 1e-12)
+    told = -(share * np.log2(share) + (1 - share) * np.log2(1 - share))
+    blocks = blocks or block_count(max(n, 1), limit, float(told.sum()))
+    masks = _agreeing(np.argsort(-told, kind="stable").tolist(), blocks, limit)
+
+    def keyed(df: DataFrame, fp: str) -> DataFrame:
+        return df.select("*", F.posexplode(F.array(*[F.col(fp).bitwiseAND(F.lit(m).cast("bigint")) for m in masks])).alias("_c", "_k"))
+
+    return keyed(left, "_f").join(keyed(right, "_g"), ["_c", "_k"])
 
 
-def fingerprint_match(left: DataFrame, right: DataFrame, key: str, fp: str, limit: int = fixed.FINGERPRINT_MAX, blocks: int = 8) -> DataFrame:
+def fingerprint_match(left: DataFrame, right: DataFrame, key: str, fp: str, limit: int = fixed.FINGERPRINT_MAX, blocks: int | None = None) -> DataFrame:
     """Best match of every left row within ``limit`` bits: (key, match, distance).
 
     Distinct fingerprints are matched, not rows, so copies never form pairs. With 64 bits in
-    ``blocks`` blocks at most ``limit`` of them can differ, so the remaining ones agree: fingerprints
-    meet under the values of those blocks (pigeonhole), which loses no match. Each comparison is
+    ``blocks`` blocks (as many as suit the number of fingerprints) at most ``limit`` of them can differ, so the remaining
+    ones agree: fingerprints meet under the values of those blocks (pigeonhole), which loses no match. Each comparison is
     reduced to the best one per left fingerprint at once. Ties go to the smaller right key.
     """
-    l_fp = left.select(F.col(fp).alias("_f")).filter("_f is not null").distinct()
-    r_fp = right.filter(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("_g")).agg(F.min(key).alias("_m"))
-    a = l_fp.select("_f", F.explode(_band_keys(F.col("_f"), blocks, limit)).alias("_k"))
-    b = r_fp.select("_g", "_m", F.explode(_band_keys(F.col("_g"), blocks, limit)).alias("_k"))
-    near = a.join(b, "_k").withColumn("_d", hamming("_f", "_g")).filter(F.col("_d") <= limit)
+    l_fp = materialise(left.select(F.col(fp).alias("_f")).filter("_f is not null").distinct())
+    r_fp = materialise(right.filter(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("_g")).agg(F.min(key).alias("_m")))
+    near = _meetings(l_fp, r_fp, limit, blocks).withColumn("_d", hamming("_f", "_g")).filter(F.col("_d") <= limit)
     best = near.groupBy("_f").agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_m").alias("m"))).alias("_b"))
     out = left.select(key, F.col(fp).alias("_f")).join(best, "_f")
     return out.select(key, F.col("_b.m").alias("match"), F.col("_b.d").alias("distance"))
@@ -349,7 +378,7 @@ def fingerprint_match(left: DataFrame, right: DataFrame, key: str, fp: str, limi
 
 # ---------------------------------------------------------------- occlusion
 def occlusion_importance(df: DataFrame, key: str, vec: str, weights: list[float], n_masks: int, p_keep: float, seed: int) -> DataFrame:
-    """Importance of each feature from random keep-masks: sum(p * m) / sum(m) per (id, feature).
+    """Importance of each feature from random keep-masks: sum(p * m) / sum(m) per (id, feature); null where no mask keeps it.
 
     ``p`` is the logistic score of the masked row under linear ``weights``. Mask bits come from a
     hash of (seed, mask, feature), the same for every row. Each row is processed where it is, in
@@ -361,7 +390,8 @@ def occlusion_importance(df: DataFrame, key: str, vec: str, weights: list[float]
     bit = lambda m, j: int(hashlib.md5(f"{seed}|{m}|{j}".encode()).hexdigest()[:8], 16) / 2**32 < p_keep
     masks = np.array([[bit(m, j) for j in range(d)] for m in range(n_masks)], dtype=float)
     w = np.asarray(weights, dtype=float)
-    cover = np.maximum(masks.sum(axis=0), 1e-6)
+    cover = masks.sum(axis=0)
+    seen = cover > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -369,10 +399,14 @@ def occlusion_importance(df: DataFrame, key: str, vec: str, weights: list[float]
             if not len(x):
                 continue
             p = 1 / (1 + np.exp(-((x[:, :d] * w) @ masks.T)))
-            yield pd.DataFrame({"id": pdf["id"], "importance": list(p @ masks / cover), "p_mean": p.mean(axis=1), "p_max": p.max(axis=1)})
+            importance = np.full((len(x), d), None, dtype=object)
+            importance[:, seen] = (p @ masks)[:, seen] / cover[seen]
+            ids = _ids(pdf["id"])
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=ids.dtype), "importance": list(importance), "p_mean": p.mean(axis=1), "p_max": p.max(axis=1)})
 
     rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    return rows.mapInPandas(run, "id bigint, importance array<double>, p_mean double, p_max double").withColumnRenamed("id", key)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, importance array<double>, p_mean double, p_max double").withColumnRenamed("id", key)
 
 
 def occlusion_summary(imp: DataFrame, key: str) -> DataFrame:

@@ -40,7 +40,9 @@ def test_years_labels_lists(spark):
 
 def test_marker_counts_bytes(spark):
     far = "é" * 4090 + "cf-chl"  # 8,180 bytes before the marker
-    assert col(spark, [far, "é" * 4096 + "cf-chl", "x"], text.marker_screen) == [True, False, False]
+    later = "é" * 4096 + "cf-chl"
+    assert col(spark, [far, later, "x", None], text.marker_screen) == [True, True, False, None]
+    assert col(spark, [far, later, "x"], lambda c: text.marker_screen(c, head=8192)) == [True, False, False]
 
 
 def test_gate_and_outcomes(spark):

@@ -1,6 +1,7 @@
 """Building blocks against brute force, with one key holding a large share of the rows."""
 
 import hashlib
+import itertools
 from collections import Counter, deque
 
 import numpy as np
@@ -57,6 +58,38 @@ def test_exact_quantiles_empty_and_null(spark):
     assert scale.exact_quantiles(df, ["k"], ["v"], [0.5]).count() == 0
 
 
+EDGES = [0.0, -0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 0.1, 1 / 3,
+         *[x for e in (-1000, -40, -1, 0, 1, 10, 52, 53, 1023) for x in (2.0**e, np.nextafter(2.0**e, 0), np.nextafter(2.0**e, np.inf))]]
+
+
+def test_ordered_bits_are_those_of_the_double(spark):
+    values = [float(x) for v in EDGES for x in (v, -v)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(scale.ordered_bits(F.col("v"))).collect()]
+    size = np.abs(np.array(values)).view(np.int64)
+    assert got == np.where(np.array(values) < 0, -size, size).tolist()
+
+
+@pytest.mark.parametrize("limit", [3, 40, 10**6])
+def test_exact_quantiles_by_radix(spark, monkeypatch, limit):
+    """Epoch seconds of one month, infinities, values that differ in the last bit, one group with most of the rows."""
+    monkeypatch.setattr(scale, "QUANTILE_ROWS", limit)
+    r = np.random.default_rng(4)
+    n = 4000
+    pdf = pd.DataFrame({"k": np.where(r.random(n) < 0.7, "hot", r.choice(list("abc"), n)), "v": 1.7e9 + r.integers(0, 2_600_000, n), "w": 1.0 + r.integers(0, 50, n) * 2.0**-52})
+    pdf.loc[:30, "v"] = np.inf
+    pdf.loc[30:70, "v"] = -np.inf
+    probs = [0.0, 0.003, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = {(x["k"], x["name"], x["prob"]): (x["value"], x["n"]) for x in scale.exact_quantiles(spark.createDataFrame(pdf).repartition(5), ["k"], ["v", "w"], probs).collect()}
+    assert len(got) == 4 * 2 * len(probs)
+    for (key, g), c in itertools.product(pdf.groupby("k"), ("v", "w")):
+        ordered = np.sort(g[c].to_numpy())
+        for p in probs:
+            at = p * (len(g) - 1)
+            lo, hi = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            want = lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))
+            assert got[(key, c, p)] == (want, len(g)), (key, c, p)
+
+
 def md5_order(pdf, seed):
     return pdf.assign(h=[hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in pdf["id"]]).sort_values(["h", "id"])
 

@@ -38,13 +38,13 @@ def brute(m, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
-@pytest.mark.parametrize("path", ["broadcast", "blocks"])
+@pytest.mark.parametrize("path", ["broadcast", "rounds"])
 def test_topk_equals_brute_force(points, metric, path):
     m, _, df = points
     old = vectors.SIMILARITY_PLACES
     vectors.SIMILARITY_PLACES = 10  # the reference below rounds to 10 places as well
     try:
-        kw = {} if path == "broadcast" else {"query_block": 64, "corpus_block": 50, "broadcast_bytes": 0}
+        kw = {} if path == "broadcast" else {"broadcast_bytes": 3000}
         got = vectors.cosine_topk(df, df, "id", "v", 5, metric, **kw).collect()
     finally:
         vectors.SIMILARITY_PLACES = old
@@ -55,6 +55,32 @@ def test_topk_equals_brute_force(points, metric, path):
     assert by == brute(m, 5, metric)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "int", "decimal(12,0)"])
+def test_ids_of_any_type(spark, points, kind):
+    """Text, date, small and decimal ids find what numbers find; ties go by the ids' own order."""
+    m, _, df = points
+    cast = {"string": F.format_string("é%05d", "id"), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")), "int": F.col("id").cast("int"),
+            "decimal(12,0)": F.col("id").cast("decimal(12,0)")}[kind]
+    named = df.withColumn("name", cast)
+    back = {r["name"]: r["id"] for r in named.select("id", "name").collect()}
+    numbers = {(r["query_id"], r["rank"]): r["neighbour_id"] for r in vectors.cosine_topk(df, df, "id", "v", 3).collect()}
+    got = vectors.cosine_topk(named, named.unionByName(named.limit(1).withColumn("name", F.lit(None).cast(kind))), "name", "v", 3)
+    assert got.schema["query_id"].dataType.simpleString() == kind
+    assert {(back[r["query_id"]], r["rank"]): back[r["neighbour_id"]] for r in got.collect()} == numbers
+    imp = vectors.occlusion_importance(named, "name", "v", [1.0] * 4, 8, 0.5, 1)
+    assert imp.count() == named.count() and imp.schema["name"].dataType.simpleString() == kind
+    assert vectors.paired_cosine(named, named, "name", "v", 2).filter("what = 'worst'").count() == 2
+    tied = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [1.0, 0.0])], "id string, v array<double>")
+    assert rows(vectors.cosine_topk(tied, tied, "id", "v", 1).select("query_id", "neighbour_id")) == [("a", "b"), ("b", "a"), ("c", "a")]
+
+
+def test_classes_of_text(spark):
+    df = spark.createDataFrame([(n, [x, 1.0]) for n, x in (("a", 0.0), ("a", 0.2), ("b", 1.0), ("b", 1.2), ("c", 9.0), (None, 3.0))], "cls string, v array<double>")
+    c = vectors.class_centroids(df, "cls", "v")
+    assert [(r["cls"], r["nearest"]) for r in vectors.nearest_other_centroid(c, "cls").orderBy("cls").collect()] == [("a", "b"), ("b", "a"), ("c", "b")]
+    assert models.cluster_silhouette(df, "v", "cls").count() == 2
+
+
 def test_topk_small_corpus_zero_and_null_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0])], "id long, v array<double>")
     assert rows(vectors.cosine_topk(df, df, "id", "v", 5).select("query_id", "neighbour_id")) == [(1, 4), (4, 1)]
@@ -91,10 +117,33 @@ def test_fingerprint_match_equals_brute_force(spark):
         d, j = min((bin((a ^ b) & (2**64 - 1)).count("1"), j) for j, b in enumerate(right))
         if d <= 6:
             want.append((i, j, d))
-    for blocks in (7, 8, 9):
+    for blocks in (7, 8, 9, None):
         assert rows(vectors.fingerprint_match(L, R, "id", "fp", blocks=blocks)) == sorted(want, key=repr)
 
 
+def test_shared_bits_do_not_fill_blocks(spark):
+    """Fingerprints that share half of their bits: all matches, and few meetings by chance."""
+    r = np.random.default_rng(6)
+    base = (np.uint64(0xABCD1234 << 32) | r.integers(0, 2**32, 3000, dtype=np.uint64)).view(np.int64).tolist()
+    flips = [b ^ sum(1 << int(x) for x in r.choice(32, i % 8, replace=False)) for i, b in enumerate(base)]
+    right, left = (spark.createDataFrame(list(enumerate(x)), "id long, fp long") for x in (base, flips))
+    a, b = np.array(flips), np.array(base)
+    apart = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64))
+    want = [(i, int(apart[i].argmin()), int(apart[i].min())) for i in range(3000) if apart[i].min() <= 6]
+    assert rows(vectors.fingerprint_match(left, right, "id", "fp")) == sorted(want, key=repr)
+    met = vectors._meetings(left.selectExpr("fp as _f").distinct(), right.selectExpr("fp as _g", "id as _m"), 6).count()
+    assert met < 3000 * 3000  # blocks of shared bits would let all pairs meet, and under several keys
+
+
+def test_candidates_of_a_million_fingerprints(spark):
+    """The number of blocks grows with the fingerprints, so random ones hardly meet by chance."""
+    n = 1_000_000
+    assert vectors.block_count(100, 6) < vectors.block_count(10**5, 6) < vectors.block_count(10**9, 6)
+    df = lambda name, seed: spark.range(20_000).select(F.xxhash64("id", F.lit(seed)).alias(name))
+    met = vectors._meetings(df("_f", 1), df("_g", 2), 6, vectors.block_count(n, 6)).count()
+    assert met * (n / 20_000) ** 2 < 200 * n  # meetings grow with the square, keys with n
+
+
 def test_separation_thresholds(spark):
     c = spark.createDataFrame([(0, [0.0, 0.0], 1.0), (1, [0.5, 0.0], 0.2), (2, [1.5, 0.0], 1.0), (3, [9.0, 0.0], 1.0)], "label int, centroid array<double>, spread double")
     p = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 8)], "a int, b int")
