@@ -85,10 +85,20 @@ def _(t):
 @query("cosine_topk_blocked", f"with {TOPK_SQL} select query_id, neighbour_id, cast(rank as integer) as rank, round_even(similarity, 6) as similarity from top")
 def _(t):
     train = split_vectors(t).filter("split = 'train'")
-    top = ve.cosine_topk(t.embeddings, train, "vec_id", "embedding", 5, query_block=512, corpus_block=512, broadcast_bytes=0)
+    top = ve.cosine_topk(t.embeddings, train, "vec_id", "embedding", 5, broadcast_bytes=1 << 20)
     return top.withColumn("similarity", r6("similarity"))
 
 
+@query("cosine_topk_text_ids", f"""
+with {TOPK_SQL}, named as (select 'item ' || query_id as query_id, 'item ' || neighbour_id as neighbour_id, similarity from pairs),
+best as (select *, row_number() over (partition by query_id order by similarity desc, neighbour_id) as rank from named)
+select query_id, neighbour_id, cast(rank as integer) as rank, round_even(similarity, 6) as similarity from best where rank <= 5""")
+def _(t):
+    """Text ids, as catalogues have them; ties go by text order."""
+    named = split_vectors(t).withColumn("vec_id", F.concat(F.lit("item "), F.col("vec_id").cast("string")))
+    return ve.cosine_topk(named, named.filter("split = 'train'"), "vec_id", "embedding", 5).withColumn("similarity", r6("similarity"))
+
+
 @query("similar_cards", f"""
 with {TOPK_SQL} select query_id, neighbour_id, nl as label, 'class ' || nl as title, 'https://catalogue.example.org/item/' || neighbour_id as link, round_even(similarity, 6) as similarity from top""")
 def _(t):
