@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.scale import join_small
@@ -43,29 +44,65 @@ class LinearProbe:
         return out.drop("_x", "_raw", "_prob", "_pred")
 
 
+def side_by_side(work: list, at_once: int = 8) -> list:
+    """Results of calls without arguments, run at the same time: small fits leave most of a cluster idle when they wait for each other."""
+    spark = SparkSession.active()
+    with ThreadPool(min(at_once, max(1, len(work)))) as pool:
+        return pool.map(lambda call: call(), [inheritable_thread_target(spark)(c) for c in work])
+
+
+def class_table(df: DataFrame, label: str) -> list:
+    """``(class, rows)`` in text order: one aggregate, as bounded as the model that has a coefficient per class and feature."""
+    return sorted(map(tuple, df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1))).collect()), key=lambda r: str(r[0]))
+
+
+def _softmax_model(rows: DataFrame, sizes: dict[int, int], C: float, max_iter: int):
+    """Balanced multinomial fit of ``_x`` and class number ``_y``; ``sizes`` has the rows of each class number that occurs."""
+    n = sum(sizes.values())
+    weights = rows.sparkSession.createDataFrame([(float(k), n / len(sizes) / m) for k, m in sizes.items()], "_y double, _w double")
+    lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (C * n), elasticNetParam=0.0,
+                            standardization=False, maxIter=max_iter, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
+    return lr.fit(rows.join(F.broadcast(weights), "_y").select("_x", "_y", "_w"))
+
+
+def _numbered(df: DataFrame, label: str, classes: list) -> DataFrame:
+    """Add the class number ``_y`` in the order of ``classes``."""
+    numbers = df.sparkSession.createDataFrame([(c, float(i)) for i, (c, _) in enumerate(classes)], f"`{label}` {df.schema[label].dataType.simpleString()}, _y double")
+    return df.join(F.broadcast(numbers), label)
+
+
 def linear_probe_fit(df: DataFrame, vec: str, label: str, C: float = 1.0, max_iter: int = 100) -> LinearProbe:
     """Balanced multinomial logistic regression with an L2 penalty.
 
     The usual objective 0.5 |w|^2 + C sum(w_i loss_i) equals Spark's mean loss + regParam / 2 |w|^2
-    at regParam = 1 / (C n), because balanced weights sum to n. Features are not standardised.
+    at regParam = 1 / (C n), because balanced weights sum to n. Features are not standardised. Rows without label are left out.
     """
-    n = df.count()
-    x = balanced_weights(df.select(label, F.col(vec).cast("array<double>").alias("_v")), label).withColumn("_x", array_to_vector("_v"))
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(x)
-    lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (C * n),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, rawPredictionCol="_raw",
-                            probabilityCol="_prob", predictionCol="_pred")
-    return LinearProbe(lr.fit(index.transform(x).select("_x", "_y", "_w")), index.labels, dict(df.dtypes)[label], vec)
+    classes = class_table(df, label)
+    x = _numbered(df.select(label, array_to_vector(F.col(vec).cast("array<double>")).alias("_x")), label, classes)
+    model = _softmax_model(x, {i: m for i, (_, m) in enumerate(classes)}, C, max_iter)
+    return LinearProbe(model, [str(c) for c, _ in classes], dict(df.dtypes)[label], vec)
 
 
 def cv_out_of_fold(df: DataFrame, key: str, vec: str, label: str, folds: int = 5, seed: int = 42, C: float = 1.0, max_iter: int = 100) -> DataFrame:
-    """Scores of every row from a model that never saw it: one fit per fold, folds are few."""
+    """Scores of every row from a model that never saw it.
+
+    Folds come from (id, class); the rows are written once with them. The fits, one per fold, run side by side.
+    """
     rows = materialise(stratified_folds(df, label, key, folds, seed))
-    parts = []
-    for f in range(folds):
-        probe = linear_probe_fit(rows.filter(F.col("fold") != f), vec, label, C, max_iter)
-        parts.append(probe.score(rows.filter(F.col("fold") == f)))
-    return reduce(DataFrame.unionByName, parts)
+    sizes = rows.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes
+    kind = dict(df.dtypes)[label]
+
+    def scored(f: int) -> DataFrame:
+        per: dict = {}
+        for r in sizes:
+            if r["fold"] != f:
+                per[r[label]] = per.get(r[label], 0) + r["n"]
+        classes = sorted(per.items(), key=lambda r: str(r[0]))
+        train = rows.filter(F.col("fold") != f).select(label, array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
+        model = _softmax_model(_numbered(train, label, classes), {i: m for i, (_, m) in enumerate(classes)}, C, max_iter)
+        return LinearProbe(model, [str(c) for c, _ in classes], kind, vec).score(rows.filter(F.col("fold") == f))
+
+    return reduce(DataFrame.unionByName, side_by_side([lambda f=f: scored(f) for f in range(folds)]))
 
 
 def mixed_features(categorical: list[str], numeric: list[str]) -> list:
@@ -91,21 +128,20 @@ def mixed_feature_probe(df: DataFrame, key: str, label: str, sets: dict[str, tup
     rows = materialise(stratified_folds(names.transform(rows), label, key, folds, seed))
     classes = F.array(*[F.lit(c).cast(kind) for c in names.labels])
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
-    parts = []
-    for set_name, (categorical, numeric) in sets.items():
-        for model in models:
-            for f in range(folds):
-                if model == "logistic":
-                    n = sum(sizes.values()) - sizes.get(f, 0)
-                    est = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
-                                             standardization=False, maxIter=max_iter, predictionCol="_p")
-                else:
-                    est = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=2, seed=seed, predictionCol="_p")
-                fit = Pipeline(stages=[*mixed_features(categorical, numeric), est]).fit(rows.filter(F.col("fold") != f))
-                out = fit.transform(rows.filter(F.col("fold") == f))
-                parts.append(out.select(F.lit(set_name).alias("feature_set"), F.lit(model).alias("model"), key,
-                                        F.col(label).alias("truth"), F.get(classes, F.col("_p").cast("int")).alias("pred")))
-    return reduce(DataFrame.unionByName, parts)
+
+    def predicted(set_name: str, model: str, f: int) -> DataFrame:
+        if model == "logistic":
+            n = sum(sizes.values()) - sizes.get(f, 0)
+            est = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / (C * max(n, 1)), elasticNetParam=0.0,
+                                     standardization=False, maxIter=max_iter, predictionCol="_p")
+        else:
+            est = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=2, seed=seed, predictionCol="_p")
+        fit = Pipeline(stages=[*mixed_features(*sets[set_name]), est]).fit(rows.filter(F.col("fold") != f))
+        out = fit.transform(rows.filter(F.col("fold") == f))
+        return out.select(F.lit(set_name).alias("feature_set"), F.lit(model).alias("model"), key, F.col(label).alias("truth"), F.get(classes, F.col("_p").cast("int")).alias("pred"))
+
+    work = [lambda s=s, m=m, f=f: predicted(s, m, f) for s in sets for m in models for f in range(folds)]
+    return reduce(DataFrame.unionByName, side_by_side(work))
 
 
 def _softmax_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, penalty: float, max_iter: int, tol: float = 1e-5) -> np.ndarray:
@@ -225,25 +261,86 @@ def permuted_probe(df: DataFrame, key: str, label: str, sets: dict[str, tuple[li
         ((1 + F.count_if(F.col("f1") >= F.col("_seen"))) / (F.count(F.lit(1)) + 1)).alias("perm_p"), F.count(F.lit(1)).alias("permutations"))
 
 
+MOMENT_ROWS = 64  # rows of a moment matrix that travel together
+
+
+def fold_moments(df: DataFrame, vec: str, target: str) -> DataFrame:
+    """Sums of products of (1, vector, target) per ``fold``, as rows of the symmetric matrix: ``fold, i, sums``.
+
+    A task adds up its rows as one matrix product per batch and fold; what is shuffled are matrices of the dimensions.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            m = np.column_stack([np.ones(len(pdf)), np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 0)), pdf["y"].to_numpy()]) if len(pdf) else None
+            for f in np.unique(pdf["fold"]):
+                own = m[pdf["fold"].to_numpy() == f]
+                total[f] = total.get(f, 0) + own.T @ own
+        for f, m in total.items():
+            for a in range(0, len(m), MOMENT_ROWS):
+                part = m[a:a + MOMENT_ROWS]
+                yield pd.DataFrame({"fold": f, "i": np.arange(a, a + len(part)), "sums": list(part)})
+
+    rows = df.select("fold", F.col(vec).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"))
+    parts = rows.mapInPandas(run, "fold int, i int, sums array<double>")
+    add = F.aggregate(F.collect_list("sums"), F.first(F.transform("sums", lambda x: F.lit(0.0))), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return parts.groupBy("fold", "i").agg(add.alias("sums"))  # one list entry per task
+
+
 def ridge_cv_r2(df: DataFrame, key: str, vec: str, target: str, alphas: list[float], folds: int = 5, seed: int = 42) -> DataFrame:
-    """Cross-validated R2 of a linear prediction of ``target`` from vectors, per alpha, best flagged.
+    """Cross-validated R2 of a ridge regression of ``target`` on vectors whose alpha is chosen inside each training set.
 
-    |y - Xw|^2 + alpha |w|^2 equals Spark's objective at regParam = alpha / n.
+    Two passes over the rows, no refits. The first adds up each fold's moments; a training set's are those of all folds
+    less its own, and one eigendecomposition of them solves every alpha. The second pass adds up, per fold and alpha, the
+    squared leave-one-out errors of the training rows (from their leverages) and the squared errors of the held-out rows. The
+    alpha with the least leave-one-out error predicts the fold (ties: the smaller). Returns ``fold, alpha, loo_mse, n, r2``
+    with a row per fold and one with null fold for all predictions together. Rows without target or vector are left out.
     """
-    rows = df.filter(F.col(target).isNotNull()).withColumn("_all", F.lit("all")).withColumn("_x", array_to_vector(F.col(vec).cast("array<double>")))
-    rows = materialise(stratified_folds(rows, "_all", key, folds, seed))
-    parts = []
-    for f in range(folds):
-        train = rows.filter(F.col("fold") != f)
-        n = train.count()
-        for a in alphas:
-            fit = LinearRegression(featuresCol="_x", labelCol=target, regParam=a / n, elasticNetParam=0.0, standardization=False, solver="normal", predictionCol="_p").fit(train)
-            parts.append(fit.transform(rows.filter(F.col("fold") == f)).select(F.lit(float(a)).alias("alpha"), F.col(target).alias("_y"), "_p"))
-    scored = reduce(DataFrame.unionByName, parts)
-    s = scored.groupBy("alpha").agg(
-        F.sum((F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))).alias("_res"), (F.var_pop("_y") * F.count(F.lit(1))).alias("_tot"), F.count(F.lit(1)).alias("n"))
-    s = s.select("alpha", "n", (1 - F.col("_res") / F.col("_tot")).alias("r2"))
-    return s.withColumn("best", F.col("alpha") == s.agg(F.max_by("alpha", "r2")).scalar())
+    kept = df.filter(F.col(target).isNotNull() & F.col(vec).isNotNull()).select(key, vec, target, F.lit("all").alias("_all"))
+    rows = materialise(stratified_folds(kept, "_all", key, folds, seed).select("fold", vec, target))
+    moments: dict[int, dict] = {}
+    for r in fold_moments(rows, vec, target).toLocalIterator():  # folds x dimensions rows
+        moments.setdefault(r["fold"], {})[r["i"]] = r["sums"]
+    schema = "fold int, alpha double, loo_mse double, n long, r2 double"
+    per = {f: np.array([m[i] for i in range(len(m))]) for f, m in moments.items()}
+    if len(per) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    everything, steps = sum(per.values()), np.array(alphas, dtype=float)
+    solved = {}
+    for f, own in per.items():
+        m = everything - own
+        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+        centred = m[1:, 1:] - n * np.outer(mean, mean)
+        values, axes = np.linalg.eigh(centred[:-1, :-1])
+        shrunk = 1 / (np.maximum(values, 0)[:, None] + steps[None, :])
+        solved[int(f)] = (n, mean[:-1], mean[-1], axes, shrunk, (axes.T @ centred[:-1, -1])[:, None] * shrunk)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {f: np.zeros((2, len(steps))) for f in solved}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y, fold = np.stack(pdf["v"].to_numpy()), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
+            for f, (n, mean, level, axes, shrunk, slope) in solved.items():
+                z = (x - mean) @ axes
+                error = y[:, None] - level - z @ slope
+                inside = fold != f
+                leverage = 1 / n + (z[inside] ** 2) @ shrunk
+                sums[f][0] += ((error[inside] / np.maximum(1 - leverage, 1e-12)) ** 2).sum(axis=0)
+                sums[f][1] += (error[~inside] ** 2).sum(axis=0)
+        yield pd.DataFrame([(f, float(a), *s) for f, m in sums.items() for a, s in zip(steps, m.T)], columns=["fold", "alpha", "loo", "out"])
+
+    narrow = rows.select("fold", F.col(vec).cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"))
+    sums = narrow.mapInPandas(run, "fold int, alpha double, loo double, out double").groupBy("fold", "alpha").agg(F.sum("loo").alias("loo"), F.sum("out").alias("out")).collect()
+    spread = lambda m: float(m[-1, -1] - m[0, -1] ** 2 / m[0, 0])
+    r2 = lambda out, m: float(1 - out / spread(m)) if spread(m) > 0 else None
+    out = []
+    for f, own in sorted(per.items()):
+        best = min((r for r in sums if r["fold"] == f), key=lambda r: (r["loo"], r["alpha"]))
+        out.append((int(f), best["alpha"], float(best["loo"] / solved[f][0]), int(own[0, 0]), r2(best["out"], own), best["out"]))
+    whole = (None, None, None, int(everything[0, 0]), r2(sum(r[5] for r in out), everything))
+    return df.sparkSession.createDataFrame([*[r[:5] for r in out], whole], schema)
 
 
 def platt_fit(df: DataFrame, scores: str, truth: str, steps: int = 25) -> dict:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core.session import materialise
+from ..functions.values import r6
 from ..operators import evaluate as ev
 from ..operators import models as mo
+from ..operators import sampling as sa
 from .registry import query
 from .vector_plans import split_vectors
 
@@ -45,10 +47,26 @@ def _(t):
     return scores.join(null, ["feature_set", "model"], "left")
 
 
+def _first_from_rest(t):
+    return t.embeddings.select("vec_id", F.slice("embedding", 2, 63).alias("rest"), F.get("embedding", F.lit(0)).cast("double").alias("target"))
+
+
 @query("ridge_cv_r2")
 def _(t):
-    e = t.embeddings.select("vec_id", F.slice("embedding", 2, 63).alias("rest"), F.get("embedding", F.lit(0)).cast("double").alias("target"))
-    return mo.ridge_cv_r2(e, "vec_id", "rest", "target", [10 ** (i / 2 - 3) for i in range(13)], folds=5)
+    return mo.ridge_cv_r2(_first_from_rest(t), "vec_id", "rest", "target", [10 ** (i / 2 - 3) for i in range(13)], folds=5)
+
+
+@query("ridge_moments", """
+with e as (select vec_id, list_concat([1.0::double], list_transform(embedding[2:64], lambda x: x::double), [embedding[1]::double]) as v,
+ (row_number() over (order by md5('42|' || vec_id), vec_id) - 1) % 5 as fold from embeddings),
+l as (select vec_id, fold, unnest(range(0, 65)) as i, unnest(v) as x from e)
+select cast(a.fold as integer) as fold, cast(a.i as integer) as i, cast(b.i as integer) as j, round_even(sum(a.x * b.x), 6) as moment
+from l a join l b on a.vec_id = b.vec_id and b.i >= a.i group by all""")
+def _(t):
+    """What the ridge is solved from: the sums of products of (1, features, target) in each fold."""
+    rows = sa.stratified_folds(_first_from_rest(t).withColumn("_all", F.lit("all")), "_all", "vec_id", 5, 42)
+    m = mo.fold_moments(rows, "rest", "target").select("fold", "i", F.posexplode("sums").alias("j", "moment"))
+    return m.filter("j >= i").select("fold", "i", "j", r6("moment").alias("moment"))
 
 
 @query("platt_compare")

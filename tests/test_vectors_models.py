@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tallyframe.operators import evaluate, models, stats, vectors
+from tallyframe.operators import evaluate, models, sampling, stats, vectors
 from tallyframe.streaming import logs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -278,11 +278,39 @@ def test_probe_folds_and_platt(points):
     assert total.filter(F.abs(F.col("t") - 1) > 1e-9).count() == 0
 
 
-def test_ridge_finds_a_linear_target(points):
+def test_ridge_equals_refits(spark):
+    """Nested choice of alpha: leave one row out of each training set by refitting, then predict the fold."""
+    r = np.random.default_rng(8)
+    n, d, alphas = 60, 5, [0.01, 1.0, 10.0, 1000.0]
+    x = r.normal(size=(n, d)) * [1, 2, 1, 1, 3]
+    y = x @ [1.0, 0.5, 0, 0, 0] + r.normal(size=n) * 2 + 5
+    df = spark.createDataFrame([(i, [float(v) for v in row], float(t)) for i, (row, t) in enumerate(zip(x, y))] + [(99, None, 1.0), (98, [1.0] * d, None)], "id long, v array<double>, y double")
+    folds = {q["id"]: q["fold"] for q in sampling.stratified_folds(df.limit(n).withColumn("c", F.lit("a")), "c", "id", 3, 42).collect()}
+    fold = np.array([folds[i] for i in range(n)])
+
+    def ridge(x, y, a, at):
+        m, t = x.mean(axis=0), y.mean()
+        w = np.linalg.solve((x - m).T @ (x - m) + a * np.eye(d), (x - m).T @ (y - t))
+        return (at - m) @ w + t
+
+    got = {q["fold"]: q for q in models.ridge_cv_r2(df, "id", "v", "y", alphas, folds=3).collect()}
+    lost = 0.0
+    for f in range(3):
+        tx, ty = x[fold != f], y[fold != f]
+        loo = [np.mean([(ty[i] - ridge(np.delete(tx, i, 0), np.delete(ty, i), a, tx[i])) ** 2 for i in range(len(ty))]) for a in alphas]
+        assert (got[f]["alpha"], got[f]["loo_mse"], got[f]["n"]) == (alphas[int(np.argmin(loo))], pytest.approx(min(loo)), int((fold == f).sum()))
+        lost += ((y[fold == f] - ridge(tx, ty, got[f]["alpha"], x[fold == f])) ** 2).sum()
+    assert got[None]["r2"] == pytest.approx(1 - lost / ((y - y.mean()) ** 2).sum()) and got[None]["n"] == n
+
+
+def test_folds_fitted_side_by_side_are_those_of_single_fits(points):
     _, _, df = points
-    out = models.ridge_cv_r2(df.withColumn("y", F.get("v", F.lit(1)) * 3 + 1), "id", "v", "y", [0.01, 1000.0], folds=3).collect()
-    best = {r["alpha"]: (r["r2"], r["best"]) for r in out}
-    assert best[0.01][0] > 0.99 and best[0.01][1] and not best[1000.0][1]
+    oof = models.cv_out_of_fold(df, "id", "v", "label", folds=3, max_iter=30)
+    folds = sampling.stratified_folds(df, "label", "id", 3, 42)
+    one = models.linear_probe_fit(folds.filter("fold <> 1"), "v", "label", max_iter=30).score(folds.filter("fold = 1"))
+    want = {r["id"]: [x["score"] for x in r["probs"]] for r in one.collect()}
+    for r in oof.filter("fold = 1").collect():
+        assert [x["score"] for x in r["probs"]] == pytest.approx(want[r["id"]], abs=1e-6)
 
 
 def test_permutation_test_of_the_probe_sees_a_dependence_and_none(spark):
