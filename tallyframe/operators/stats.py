@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.scale import exact_quantiles, hash_rank, join_small
+from ..core.scale import exact_quantiles, hash_order, join_small
+from ..core.session import materialise
 
 
 def quantile_bands(df: DataFrame, value: str, bands: int = 4, label: str = "band") -> DataFrame:
@@ -169,27 +170,35 @@ def association_scan(df: DataFrame, categorical: list[str], numeric: list[str],
     return both.withColumn("effect", effect).orderBy(F.desc("effect"), "variable")
 
 
-def permuted_eta(df: DataFrame, value: str, cls: str, id_col: str, replicates: int, seed: int) -> DataFrame:
+def permuted_eta(df: DataFrame, value: str, cls: str, id_col: str, replicates: int, seed: int, piece_rows: int = 100) -> DataFrame:
     """eta squared of ``value`` under ``replicates`` label shuffles: (replicate, statistic).
 
-    A shuffle is a hash order of the rows: the first n_1 rows get class 1, the next n_2 class 2 and
-    so on. Ranks come from ``hash_rank``, so a replicate is spread over many tasks, and what is
-    shuffled onwards are (replicate, class) sums.
+    A shuffle is a hash order of the rows: the first n_1 rows get class 1, the next n_2 class 2 and so on. The hash's first
+    digits cut a replicate into pieces of about ``piece_rows`` rows; their counts and sums combine before the shuffle and
+    say where each class ends. Only rows of the pieces in which a class ends (fewer than there are classes) are ranked.
     """
-    base = df.filter(F.col(cls).isNotNull() & F.col(value).isNotNull()).select(id_col, F.col(cls).alias("_c"), F.col(value).cast("double").alias("_v"))
-    sizes = base.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    kept = df.filter(F.col(cls).isNotNull() & F.col(value).isNotNull())
+    base = kept.select(F.col(id_col).alias("_id"), F.col(cls).alias("_c"), F.col(value).cast("double").alias("_v"))
+    base = materialise(base.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # few rows become many: all tasks take part
+    rows, mean, total = base.agg(F.count(F.lit(1)), F.avg("_v"), F.var_pop("_v") * F.count(F.lit(1))).first()
+    digits = 1
+    while rows > piece_rows * 16**digits:
+        digits += 1
     upto = Window.partitionBy(F.lit(1)).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)  # one row per class
-    bounds = sizes.select("_c", F.sum("_n").over(upto).alias("_to")).agg(
-        F.sort_array(F.collect_list(F.struct("_to", "_c"))).alias("_bounds"))
-    whole = base.agg(F.struct(F.avg("_v").alias("_mean"), (F.var_pop("_v") * F.count(F.lit(1))).alias("_total")).alias("_w"))
-    reps = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    ranked = hash_rank(reps, ["replicate"], id_col, seed, prefix=2, hash_on=["replicate", id_col])
-    ranked = ranked.withColumn("_bounds", bounds.scalar())
-    at = F.size(F.filter("_bounds", lambda b: b["_to"] < F.col("rank")))
-    cells = ranked.groupBy("replicate", at.alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"))
-    cells = cells.withColumn("_w", whole.scalar()).select("*", "_w._mean", "_w._total")
-    gap = F.col("_m") - F.col("_mean")
-    return cells.groupBy("replicate").agg((F.sum(F.col("_n") * gap * gap) / F.max("_total")).alias("statistic"))
+    bounds = base.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).select(F.sum("_n").over(upto).alias("_to")).agg(F.sort_array(F.collect_list("_to")))
+    spread = base.select("_id", (F.col("_v") - F.lit(mean)).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    spread = spread.withColumn("_h", hash_order(seed, "replicate", "_id")).withColumn("_p", F.substring("_h", 1, digits))
+    before = Window.partitionBy("replicate").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = spread.groupBy("replicate", "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_bounds", bounds.scalar())
+    at = lambda rank: F.size(F.filter("_bounds", lambda b: b < rank))  # noqa: E731 - the class that holds a rank
+    pieces = materialise(pieces.select("replicate", "_p", "_n", "_s", "_before", at(F.col("_before") + 1).alias("_k"), at(F.col("_before") + F.col("_n")).alias("_last")))
+    whole = pieces.filter("_k = _last").select("replicate", "_k", "_n", "_s")
+    cut = join_small(spread, pieces.filter("_k <> _last").select("replicate", "_p", "_before"), ["replicate", "_p"])
+    cut = cut.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("replicate", "_p").orderBy("_h", "_id"))).withColumn("_bounds", bounds.scalar())
+    ends = cut.select("replicate", at(F.col("_rank")).alias("_k"), F.lit(1).cast("long").alias("_n"), F.col("_v").alias("_s"))
+    cells = whole.unionByName(ends).groupBy("replicate", "_k").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    return cells.groupBy("replicate").agg((F.sum(F.col("_s") * F.col("_s") / F.col("_n")) / F.lit(total)).alias("statistic"))
 
 
 def permuted_cramers(df: DataFrame, column: str, cls: str, replicates: int, seed: int) -> DataFrame:

@@ -101,23 +101,25 @@ def _(t):
     return a.select("variable", "type", "n", r6("value").alias("value"), r6("raw_value").alias("raw_value"), "levels", r6("effect").alias("effect"))
 
 
-@query("permutation_null", """
+PERMUTED_PRICE = """
 with b as (select p_partkey, p_type as c, p_retailprice as v from part),
-k as (select c, sum(count(*)) over (order by c) as hi, sum(count(*)) over (order by c) - count(*) as lo from b group by 1),
-r as (select rep, v, row_number() over (partition by rep order by md5('42|' || rep || '|' || p_partkey), p_partkey) as rk from b, (select unnest(range(1, 21)) as rep)),
+k as (select c, sum(n) over (order by c) as hi, sum(n) over (order by c) - n as lo from (select c, count(*) as n from b group by 1)),
+r as (select rep, v, row_number() over (partition by rep order by md5('42|' || rep || '|' || p_partkey), p_partkey) as rk from b, (select unnest(range(1, REPLICATES + 1)) as rep)),
 a as (select avg(v) as mm, var_pop(v) * count(*) as tot from b),
 g as (select rep, c, count(*) as n, avg(v) as m from r join k on rk > lo and rk <= hi group by all),
 s as (select rep, sum(n * (m - mm) * (m - mm)) / max(tot) as stat from g, a group by 1),
 o as (select sum(n * (m - mm) * (m - mm)) / max(tot) as value from (select c, count(*) as n, avg(v) as m from b group by 1), a)
 select round_even(max(value), 6) as value, round_even(avg(stat), 6) as null_mean, round_even(quantile_cont(stat, 0.99), 6) as null_p99,
- round_even((1 + count(*) filter (stat >= value)) / (count(*) + 1), 6) as perm_p, count(*) as replicates from s, o""".replace("sum(count(*)) over (order by c) as hi, sum(count(*)) over (order by c) - count(*) as lo from b group by 1", "sum(n) over (order by c) as hi, sum(n) over (order by c) - n as lo from (select c, count(*) as n from b group by 1)"))
+ round_even((1 + count(*) filter (stat >= value)) / (count(*) + 1), 6) as perm_p, count(*) as replicates from s, o"""
+
+
+@query("permutation_null", PERMUTED_PRICE.replace("REPLICATES", "20"))
 def _(t):
     return _permuted_price(t, 20)
 
 
-@query("permutation_null_full")
+@query("permutation_null_full", PERMUTED_PRICE.replace("REPLICATES", "1000"))
 def _(t):
-    """All 1,000 shuffles; the SQL above draws 20."""
     return _permuted_price(t, 1000)
 
 

@@ -226,20 +226,23 @@ def _(t):
 _MASK_W = [((j * 37) % 11 - 5) / 2.0 for j in range(64)]
 
 
-@query("occlusion_importance", f"""
+def _importance_sql(masks: int) -> str:
+    return f"""
 with w as (select unnest(range(0, 64)) as j, unnest([{", ".join(str(x) for x in _MASK_W)}]::double[]) as w),
-k as (select m, j, w, case when cast('0x' || substr(md5('42|' || m || '|' || j), 1, 8) as bigint) / 4294967296.0::double < 0.5 then 1 else 0 end as bit from (select unnest(range(0, 32)) as m), w),
+k as (select m, j, w, case when cast('0x' || substr(md5('42|' || m || '|' || j), 1, 8) as bigint) / 4294967296.0::double < 0.5 then 1 else 0 end as bit from (select unnest(range(0, {masks})) as m), w),
 d as (select vec_id, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as j from embeddings),
 p as (select vec_id, m, 1 / (1 + exp(-sum(x * w * bit))) as p from d join k using (j) group by all),
 i as (select vec_id, j, sum(p * bit) / greatest(sum(bit), 1e-6) as importance from p join k using (m) group by all)
-select vec_id, cast(j as integer) as feature, round_even(importance, 6) as importance from i""")
+select vec_id, cast(j as integer) as feature, round_even(importance, 6) as importance from i"""
+
+
+@query("occlusion_importance", _importance_sql(32))
 def _(t):
     return _importance(t, 32)
 
 
-@query("occlusion_importance_full")
+@query("occlusion_importance_full", _importance_sql(400))
 def _(t):
-    """All 400 masks; the SQL above uses 32."""
     return _importance(t, 400)
 
 
