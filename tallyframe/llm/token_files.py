@@ -22,7 +22,7 @@ FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids arr
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, stripe_bytes: int = 64 << 20, index_stride: int = 1000, bloom_fpp: float = 0.01) -> None:
     """Encode every whole text (null: empty), append ``end_id``, write one row per document.
 
-    Rows are range-partitioned by ``doc_id`` (ties by a hash of the text, so a repeated id can span
+    Rows are range-partitioned by ``doc_id`` (ties by the size of the text, so a repeated id can span
     tasks; null ids first). ``start_in_part`` counts the ids of the rows before it in its partition.
     """
 
@@ -42,8 +42,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 before += int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_size", F.octet_length("text"))
+    ordered = rows.repartitionByRange("doc_id", "_size").sortWithinPartitions("doc_id", "_size", F.xxhash64("text")).drop("_size")
     (ordered.mapInArrow(run, FILE_SCHEMA).write
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)
      .option("orc.create.index", "true").option("orc.row.index.stride", index_stride).option("orc.stripe.size", stripe_bytes)

@@ -3,7 +3,7 @@
 White space ends a token in both supported kinds of vocabulary, so a text is cut into units that the
 tokenizer treats alike wherever they stand. Arrow splits a slice of texts and finds its distinct units;
 each is encoded once per worker, and the ids of the texts are gathered from that store. Texts with white
-space for which this is not certain are encoded in one piece.
+space for which this is not certain, or with the string of a special token, are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 UNITS_KEPT = 700_000  # units in a worker's store before it is reduced to those in use; changes speed only
 #: Characters that not every library takes for white space alike, as a character class of RE2.
 UNSURE = r"\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-#: A unit of letters with at most one mark after it is the tokens of the letters and those of the mark.
-MARKED = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?]?)")
+#: A unit of letters with at most one mark after it is the tokens of the letters and those of the mark (zero: a text's first unit).
+MARKED = r"^(?P<zero>\x00?)(?P<line>\n?)(?P<word>\p{L}+)(?P<mark>[.,;:!?]?)$"
+JOINED = 64  # letter units that are encoded as one text, with a mark between them
 
 
 class Encoder:
@@ -38,10 +39,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = self.tokenizer.normalizer is not None
-        # letters alone are one pre-token, so they need no splitting
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # letters alone are one pre-token, so they need no splitting but at the marks that join them
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("!", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.mark,) = self.letters.encode("!", add_special_tokens=False).ids
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.unsure = (f"[{UNSURE}]" if self.words else rf"[ \n][ \n]|[\t\v\f\r{UNSURE}]") + (f"|(?i:{added})" if added else "")
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
@@ -57,22 +60,6 @@ class Encoder:
         """Whether a unit is letters, and stays so when the normalizer puts it in lower case."""
         return unit.isalpha() and (not self.words or unit.isascii() or unicodedata.normalize("NFC", unit).lower().isalpha())
 
-    def _parts(self, unit: str) -> list[str] | None:
-        """The simpler units that a unit is made of, if it is not one itself."""
-        m = MARKED.fullmatch(unit[1:] if unit[:1] == "\x00" and not self.words else unit)
-        if not m:
-            return None
-        line, word, mark = m.groups()
-        if not self._letters(word):
-            return None
-        if self.words:
-            if line:
-                return None
-            low = word.lower() if word.isascii() else word
-            return [low, *([mark] if mark else [])] if mark or low != word else None
-        bare = "\x00" if line or unit[:1] == "\x00" else ""
-        return [*(["\x00\n"] if line else []), bare + word, *(["\x00" + mark] if mark else [])] if line or mark else None
-
     def _append(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m, total = len(self.index), len(units), len(ids)
         while self.used + total > len(self.flat):
@@ -86,12 +73,25 @@ class Encoder:
         self.used += total
         self.index.update(zip(units, range(n, n + m), strict=True))
 
-    def _encode_units(self, tokenizer, units: list[str]) -> None:
+    def _encode_units(self, units: list[str]) -> None:
         if units:
-            ids = [e.ids for e in tokenizer.encode_batch_fast([self._unit_text(u) for u in units], add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([self._unit_text(u) for u in units], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             self._append(units, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes)
 
+    def _encode_letters(self, units: list[str]) -> None:
+        """Many at once: no letters have the token of the mark that joins them."""
+        if units:
+            blank = "" if self.words else " "
+            texts = [blank + f"!{blank}".join(units[i:i + JOINED]) + "!" for i in range(0, len(units), JOINED)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = ids == self.mark
+            self._append(units, ids[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1)
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Where units are stored; -1 for new ones."""
+        return np.fromiter(map(self.index.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of stored units one after the other, and where each ends."""
         sizes = self.lengths[at]
@@ -100,27 +100,47 @@ class Encoder:
         shift += np.arange(len(shift))
         return self.flat[shift], ends
 
-    def _learn(self, units: list[str]) -> None:
-        made = {u: p for u in units if (p := self._parts(u))}
-        base = {u for u in units if u not in made}
-        base.update(x for p in made.values() for x in p if x not in self.index)
-        plain = {u for u in base if self._letters(u)}
-        self._encode_units(self.letters, list(plain))
-        self._encode_units(self.tokenizer, list(base - plain))
-        made = {u: p for u, p in made.items() if u not in self.index}
-        if made:
-            at = np.array([self.index[x] for p in made.values() for x in p])
-            ids, ends = self._gather(at)
-            last = np.cumsum([len(p) for p in made.values()]) - 1
-            self._append(list(made), ids, np.diff(ends[last], prepend=0))
+    def _learn(self, units: pa.Array) -> None:
+        """Encode new units; those that are letters and a mark are put together from their distinct parts."""
+        parts = pc.extract_regex(units, MARKED)
+        if self.words:  # a line or zero in a unit is no part of a word there
+            parts = pc.if_else(pc.equal(pc.binary_join_element_wise(pc.struct_field(parts, "zero"), pc.struct_field(parts, "line"), ""), ""), parts, None)
+        simple = parts.is_valid()
+        parts, own = parts.filter(simple), units.filter(simple)
+        zero, line, word, mark = (pc.struct_field(parts, n) for n in ("zero", "line", "word", "mark"))
+        bare = pc.or_(pc.equal(line, "\n"), pc.equal(zero, "\x00"))
+        word = pc.ascii_lower(word) if self.words else pc.binary_join_element_wise(pc.if_else(bare, "\x00", ""), word, "")
+        coded = word.dictionary_encode()
+        bases = coded.dictionary.to_pylist()
+        good = np.fromiter((self._letters(b[1:] if b[0] == "\x00" else b) for b in bases), dtype=bool, count=len(bases))
+        need = [b for b, ok in zip(bases, good.tolist(), strict=True) if ok and b not in self.index]
+        self._encode_letters([b for b in need if b[0] != "\x00"])
+        keep = good[coded.indices.to_numpy()]
+        signs = {x if self.words else "\x00" + x: 0 for x in pc.unique(mark).to_pylist() if x}
+        if not self.words:
+            signs["\x00\n"] = 0
+        rest = units.filter(pc.invert(simple)).to_pylist() + own.filter(pa.array(~keep)).to_pylist()
+        self._encode_units([*(b for b in need if b[0] == "\x00"), *(x for x in signs if x not in self.index), *rest])
+        made = keep & pc.not_equal(own, word).to_numpy(zero_copy_only=False)
+        if not made.any():
+            return
+        place = self._places(bases)
+        put = pa.array(made)
+        middle = place[coded.indices.to_numpy()[made]]
+        marks = mark.filter(put).dictionary_encode()
+        after = np.array([self.index[x if self.words else "\x00" + x] if x else -1 for x in marks.dictionary.to_pylist()], dtype=np.int64)[marks.indices.to_numpy()]
+        before = np.where(pc.equal(line.filter(put), "\n").to_numpy(zero_copy_only=False), self.index.get("\x00\n", -1), -1)
+        at = np.column_stack([before, middle, after])
+        ids, ends = self._gather(at[at >= 0])
+        last = np.cumsum((at >= 0).sum(axis=1)) - 1
+        self._append(own.filter(put).to_pylist(), ids, np.diff(ends[last], prepend=0))
 
     def _shrink(self, units: list[str]) -> None:
         """Keep only the given units."""
-        kept = [u for u in units if u in self.index]
-        at = np.array([self.index[u] for u in kept], dtype=np.int64)
+        at = self._places(units)
         ids, sizes = self._gather(at)[0], self.lengths[at]
         self.index, self.used = {}, 0
-        self._append(kept, ids, sizes)
+        self._append(units, ids, sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         gc.disable()  # many short lists and no cycles: collections would only walk the store
@@ -130,7 +150,7 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        unsure = pc.match_substring_regex(texts, f"[{UNSURE}]" if self.words else rf"[ \n][ \n]|[\t\v\f\r{UNSURE}]")
+        unsure = pc.match_substring_regex(texts, self.unsure)
         safe = pc.if_else(unsure, "", texts)
         if self.words:
             cut = pc.ascii_split_whitespace(safe)
@@ -138,12 +158,13 @@ class Encoder:
             cut = pc.split_pattern(pc.binary_join_element_wise("\x00", pc.replace_substring(safe, "\n", " \n"), ""), " ")
         coded = cut.flatten().dictionary_encode()
         units = coded.dictionary.to_pylist()
-        new = [u for u in units if u not in self.index]
-        if new and len(self.index) + len(new) > UNITS_KEPT:
-            self._shrink(units)
-        if new:
-            self._learn(new)
-        own = np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
+        own = self._places(units)
+        new = own < 0
+        if new.any():
+            if len(self.index) + new.sum() > UNITS_KEPT:
+                self._shrink([u for u, n in zip(units, new.tolist(), strict=True) if not n])
+            self._learn(coded.dictionary.filter(pa.array(new)))
+            own = self._places(units)
         flat, ends = self._gather(own[coded.indices.to_numpy()])
         per = np.diff(cut.offsets.to_numpy())
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
