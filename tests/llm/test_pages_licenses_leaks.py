@@ -114,6 +114,36 @@ def test_leaks_are_found_and_nothing_else(spark):
     assert clean.columns == docs.columns and clean.count() == len(rows) - 20
 
 
+def test_recall_on_parts_and_paraphrases(spark):
+    """Planted leaks by kind: 100 consecutive words of items of 400, every tenth or fifth word another, two clauses swapped."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 5))) for _ in range(3000)]
+    text = lambda n: " ".join(vocabulary[min(int(r.expovariate(1 / 400)), 2999)] for _ in range(n))
+    items = [(i, text(400 if i < 40 else 40)) for i in range(160)]
+    rows, kinds = [(i, text(300)) for i in range(400)], {}
+
+    def plant(item, kind, words):
+        kinds[1000 + item] = (kind, item)
+        rows.append((1000 + item, text(r.randrange(150)) + " " + " ".join(words) + " " + text(100)))
+
+    for i, t in items:
+        w = t.split()
+        if i < 40:
+            at = r.randrange(300)
+            plant(i, "part", w[at:at + 100])
+        elif i < 100:
+            step = 10 if i < 70 else 5
+            plant(i, f"one in {step}", [vocabulary[r.randrange(3000)] if k % step == 2 else x for k, x in enumerate(w)])
+        elif i < 130:
+            plant(i, "clauses", w[6:] + w[:6])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in latent_leaks.flagged(documents(spark, rows), bench).collect()}
+    assert got <= {(d, i) for d, (_, i) in kinds.items()}  # clean documents and other items stay alone
+    for kind in ("part", "one in 10", "one in 5", "clauses"):
+        planted = [(d, i) for d, (k, i) in kinds.items() if k == kind]
+        assert sum(x in got for x in planted) >= 0.9 * len(planted), kind
+
+
 def test_empty_sides(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert latent_leaks.flagged(documents(spark, EMPTY), bench).count() == 0
