@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-UNITS_KEPT = 700_000  # units in a worker's store before it is reduced to those in use; changes speed only
+UNITS_KEPT = 600_000  # units in a worker's store before it is reduced to those in use; changes speed only
 #: Characters that not every library takes for white space alike, as a character class of RE2.
 UNSURE = r"\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: A unit of letters with at most one mark after it is the tokens of the letters and those of the mark (zero: a text's first unit).
@@ -84,7 +84,8 @@ class Encoder:
         if units:
             blank = "" if self.words else " "
             texts = [blank + f"!{blank}".join(units[i:i + JOINED]) + "!" for i in range(0, len(units), JOINED)]
-            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)])
+            parts = (self.letters.encode_batch_fast(texts[i:i + JOINED], add_special_tokens=False) for i in range(0, len(texts), JOINED))
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for part in parts for e in part])
             ends = ids == self.mark
             self._append(units, ids[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1)
 
@@ -148,6 +149,7 @@ class Encoder:
             return self._encode(texts)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         unsure = pc.match_substring_regex(texts, self.unsure)
