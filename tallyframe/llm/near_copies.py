@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 from .components import connected
 
 WORDS = 5
@@ -61,7 +61,7 @@ def banded(rows: DataFrame) -> DataFrame:
                     sizes += [len(h)] * BANDS
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32())], names=["k", "t", "n"])
 
-    return rows.select("t", "text").mapInArrow(run, "k long, t binary, n int")
+    return rows.select("t", "text").mapInArrow(trimmed(run), "k long, t binary, n int")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -81,7 +81,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     whole = pairs.join(texts.select(F.col("t").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("t").alias("a"), F.col("text").alias("x")), "a")
-    return whole.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return whole.select("a", "b", "x", "y").mapInArrow(trimmed(run), "a binary, b binary")
 
 
 def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_or_empty
+from .common import materialise, slices, text_or_empty, trimmed
 from .tokens import encoder, with_end
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for a, b in slices(batch, "text", 6 << 20):
+            for a, b in slices(batch, "text"):
                 part = batch.slice(a, b - a)
                 flat, counts = with_end(*enc.encode(part.column("text")), end_id)
                 n_pieces = -(-counts // max_tokens)
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(trimmed(run), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def place(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_attention: float, rule: str, weights: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, text_or_empty
+from .common import materialise, release, text_or_empty, trimmed
 
 GRAM = 8  # bytes hashed at a possible anchor
 SPARE = 32  # an anchor is at least so far from the start of its windows
@@ -96,7 +96,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                         names=["t", "lo", "hi", "a", "k", "e"])
                     held, count = [], 0
 
-    return texts.mapInArrow(run, "t binary, lo long, hi long, a long, k long, e long")
+    return texts.mapInArrow(trimmed(run), "t binary, lo long, hi long, a long, k long, e long")
 
 
 def join_texts(texts: DataFrame, spans: DataFrame, n_spans: int, how: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _by_segment(rows: DataFrame, build, schema: str) -> DataFrame:
             if out:
                 yield from pa.concat_tables(out).combine_chunks().to_batches()
 
-    return rows.repartition("seg").sortWithinPartitions("seg", "i").mapInArrow(run, schema)
+    return rows.repartition("seg").sortWithinPartitions("seg", "i").mapInArrow(trimmed(run), schema)
 
 
 def _filled(table: pa.Table) -> np.ndarray:
@@ -183,7 +183,7 @@ def words_of(segments: DataFrame, length: int) -> DataFrame:
                     words = np.lib.stride_tricks.sliding_window_view(data, 24)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), seg)), pa.array(i), *[column(words[i + s]) for s in (0, 24, 48)]], names=["seg", "i", "a", "b", "c"])
 
-    return segments.select("seg", "bytes").mapInArrow(run, "seg long, i long, a binary, b binary, c binary")
+    return segments.select("seg", "bytes").mapInArrow(trimmed(run), "seg long, i long, a binary, b binary, c binary")
 
 
 def merged(names: DataFrame, segments: DataFrame, length: int, reach: int = 198) -> DataFrame:
@@ -303,7 +303,7 @@ def grains(texts: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([long(out["k"]), long(out["j"]), _signed(out["c"]), _signed(out["f"]), pa.array(out["t"], pa.binary()), long(out["lo"]), long(out["hi"])],
                                              names=list(out))
 
-    return _with_spans(texts, stretches).mapInArrow(run, "k long, j long, c long, f long, t binary, lo long, hi long")
+    return _with_spans(texts, stretches).mapInArrow(trimmed(run), "k long, j long, c long, f long, t binary, lo long, hi long")
 
 
 def regions(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def regions(texts: DataFrame, spans: DataFrame) -> DataFrame:
                     end = s and max(end if s["lo"] <= end else 0, s["end"])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("t", pa.binary()), ("start", pa.int64()), ("bytes", pa.binary())]))
 
-    return _with_spans(texts, spans).mapInArrow(run, "t binary, start long, bytes binary").dropDuplicates(["t", "start"])
+    return _with_spans(texts, spans).mapInArrow(trimmed(run), "t binary, start long, bytes binary").dropDuplicates(["t", "start"])
 
 
 def _cut(length: int):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import materialise, text_or_empty
+from .common import materialise, text_or_empty, trimmed
 from .components import connected
 
 BITS_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_type: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
+    return rows.mapInArrow(trimmed(run), f"doc_id {id_type}, fp long")
 
 
 def segments(radius: int, pieces: int) -> list[tuple[int, int, int]]:

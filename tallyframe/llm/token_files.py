@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import slices, text_or_empty, trimmed
 from .tokens import encoder, with_end
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_size", F.octet_length("text"))
     ordered = rows.repartitionByRange("doc_id", "_size").sortWithinPartitions("doc_id", "_size", F.xxhash64("text")).drop("_size")
-    (ordered.mapInArrow(run, FILE_SCHEMA).write
+    (ordered.mapInArrow(trimmed(run), FILE_SCHEMA).write
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", bloom_fpp)
      .option("orc.create.index", "true").option("orc.row.index.stride", index_stride).option("orc.stripe.size", stripe_bytes)
      .orc(path))
@@ -76,7 +76,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
                                              names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
     files = read_tokens(spark, path)
-    rows = files.mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(trimmed(run), "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition of the writer
     shift = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
