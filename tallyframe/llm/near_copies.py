@@ -17,7 +17,7 @@ from .components import connected
 
 WORDS = 5
 BANDS, MINIMA = 20, 5
-LEADERS = 32  # texts of a bucket that all its texts of other components are compared with
+LEADERS = 32  # texts of a bucket that meet its texts of other components in the first round; twice as many in each further one
 _RNG = np.random.default_rng(42)
 _FACTORS = _RNG.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64) | np.uint64(1)
 _TERMS = _RNG.integers(0, 1 << 64, BANDS * MINIMA, dtype=np.uint64)
@@ -88,8 +88,10 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float
     """``a, b``: links between the nodes (``t, fp``: digest of a text and its fingerprint) of similar texts of ``docs`` (``t, text``).
 
     Every text of a bucket is compared with its first one. What this and the links already ``found`` leave in
-    several components is compared with up to 32 texts of the other ones, so that a large bucket of copies makes
-    as many pairs as it has texts.
+    several components is compared in rounds: some texts of a bucket, taken in turn from its components, meet all its
+    texts of other components and then leave the bucket. The rounds end when no bucket holds two components, so every
+    pair of a bucket is compared or linked by others; a bucket of copies makes about as many pairs as it has texts.
+    The texts per round double, so there are few rounds. Texts without words have no shingles and no links here.
     """
     near = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)
     keys = materialise(banded(docs).distinct())
@@ -102,15 +104,27 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame, similarity: float
     on_nodes = lambda p: p.join(nodes.select(F.col("t").alias("a"), F.col("fp").alias("u")), "a").join(
         nodes.select(F.col("t").alias("b"), F.col("fp").alias("v")), "b").filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     direct = materialise(on_nodes(known))
+    rest = buckets.filter(F.col("t") != F.col("first.t")).select("k", "t", "n").join(nodes, "t")
     roots = connected(found.unionByName(direct)).withColumnRenamed("node", "fp")
-    rest = buckets.select("k", "t", "n").join(nodes, "t").join(roots, "fp", "left").select("k", "t", "n", F.coalesce("root", "fp").alias("root"))
-    rest = materialise(rest)
-    mixed = rest.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
-    rest = materialise(rest.join(mixed, "k", "left_semi"))
-    turn = F.row_number().over(Window.partitionBy("k", "root").orderBy("t"))
-    heads = rest.withColumn("turn", turn).filter(F.col("turn") <= LEADERS)
-    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("turn", "t"))).filter(F.col("place") <= LEADERS)
-    heads = heads.select("k", F.col("t").alias("h"), F.col("n").alias("hn"), F.col("root").alias("hr"))
-    across = rest.join(heads, "k").filter((F.col("root") != F.col("hr")) & near(F.col("n"), F.col("hn")))
-    across = across.select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return direct.unionByName(on_nodes(materialise(confirmed(materialise(across), texts, similarity)))).distinct()
+    leaders = LEADERS
+    while True:
+        now = rest.join(roots, "fp", "left").select("k", "t", "n", "fp", F.coalesce("root", "fp").alias("root"))
+        now = materialise(now)
+        mixed = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
+        now = materialise(now.join(mixed, "k", "left_semi"))
+        if now.isEmpty():
+            return direct
+        turn = F.row_number().over(Window.partitionBy("k", "root").orderBy("t"))
+        heads = now.withColumn("turn", turn).filter(F.col("turn") <= leaders)
+        heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("turn", "t"))).filter(F.col("place") <= leaders)
+        heads = materialise(heads.select("k", F.col("t").alias("h"), F.col("n").alias("hn"), F.col("root").alias("hr")))
+        across = now.join(heads, "k").filter((F.col("root") != F.col("hr")) & near(F.col("n"), F.col("hn")))
+        across = across.select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        across = materialise(across)
+        pairs = pairs.unionByName(across)
+        fresh = materialise(on_nodes(confirmed(across, texts, similarity)))
+        if not fresh.isEmpty():
+            direct = materialise(direct.unionByName(fresh).distinct())
+            roots = connected(found.unionByName(direct)).withColumnRenamed("node", "fp")
+        rest = now.select("k", "t", "n", "fp").join(heads.select("k", F.col("h").alias("t")), ["k", "t"], "left_anti")
+        leaders *= 2

@@ -1,7 +1,9 @@
 import zlib
 
 import xxhash
-from tallyframe.llm import sharding, simhash
+from pyspark.sql import functions as F
+
+from tallyframe.llm import near_copies, sharding, simhash
 from tallyframe.llm.components import connected
 
 from .helpers import AWKWARD, EMPTY, documents, prose
@@ -165,3 +167,22 @@ def test_a_large_group_and_a_bucket_of_two_texts(spark):
     rows += [(1000 + i, prose(2000 + i, 200)) for i in range(30)]
     got = simhash.one_of_each(documents(spark, rows, extra=False), similarity=0.8)
     assert sorted(r.doc_id for r in got.collect()) == [0, *range(1000, 1030)]
+
+
+def test_links_of_a_bucket_with_many_components(spark, monkeypatch):
+    """Unlike texts in one bucket: each group of like texts is found, although rounds start with two texts of a bucket."""
+    monkeypatch.setattr(near_copies, "LEADERS", 2)
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: list(range(near_copies.BANDS)))  # all texts meet in every band
+    rows = []
+    for g in range(12):
+        words = prose(3000 + g, 120).split()
+        rows += [(100 * g + c, " ".join(words[:118] + [f"c{c}", f"d{c}"])) for c in range(4)]
+    texts = spark.createDataFrame([(str(i).encode(), t) for i, t in rows], "t binary, text string")
+    nodes = texts.select("t", F.hash("t").cast("long").alias("fp"))
+    found = nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    ids = {r.fp: int(bytes(r.t)) for r in nodes.collect()}
+    roots = connected(near_copies.links(texts, nodes, found, 0.8)).collect()
+    groups = {}
+    for r in roots:
+        groups.setdefault(r.root, set()).add(ids[r.node])
+    assert sorted(map(sorted, groups.values())) == [[100 * g + c for c in range(4)] for g in range(12)]
