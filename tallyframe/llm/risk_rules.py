@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds (DataFrame operations only).
 
-For each stratum and statistic a fixed ladder of cutoffs is tested from lenient to strict on labelled rows.
-A cutoff passes if an exact binomial test shows that it rejects at most a share ``risk / statistics`` of the
-good documents of the stratum; the first failure ends the ladder (fixed-sequence testing, so the steps need
-no correction), and the level is divided by the number of ladders (Bonferroni). With confidence ``1 - error``
-all strata together then lose at most ``risk`` of their good documents. Among the passed cutoffs the one
-that rejects the most bad beyond good labelled rows is used, and none if no cutoff has such a gain.
+Each stratum has one sequence of nested rule sets (a cutoff for each statistic), from lenient to strict. A quarter of the
+good labelled rows and all bad ones decide the sequence: each statistic's cutoffs are reduced to the concave hull of
+(good lost, bad caught), and the steps of all hulls are merged, most bad per good row first. The other good rows are
+the holdout. A rule set passes if an exact binomial test on it shows that all its rules together reject at most a
+share ``risk`` of the stratum's good documents; the first failure ends the sequence (fixed-sequence testing, so the
+steps need no correction), and the level is divided by the number of strata that can pass at all (Bonferroni). With
+confidence ``1 - error`` every stratum then loses at most ``risk`` of its good documents. Among the rule sets that
+passed, the one that rejects the most bad beyond good rows is used. At 5 % and 5 % a stratum alone needs 59 good
+rows in the holdout (79 labelled), one of four strata 86 (115 labelled).
 """
 
 from __future__ import annotations
@@ -65,27 +68,98 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * (value - 1.0)
 
 
-def cutoffs(counts: list[tuple], risk: float, error: float) -> dict[tuple[str, str], float]:
-    """Cutoff by (stratum, statistic) from rows (stratum, statistic, step reached, good, bad)."""
-    ladders: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
-    for stratum, stat, step, good, bad in counts:
-        ladders.setdefault((stratum, stat), {})[step] = (good, bad)
-    out = {}
-    for key, steps in ladders.items():
-        n = sum(g for g, _ in steps.values())
-        best, chosen = 0, None
-        for i, cut in enumerate(ladder(key[1])):
-            lost = sum(g for s, (g, _) in steps.items() if s >= STEPS - i)
-            caught = sum(b for s, (_, b) in steps.items() if s >= STEPS - i)  # the cutoffs exceeded are the strictest ones
-            if binomial_tail(lost, n, risk / len(LADDERS)) > error / len(ladders):
-                break
-            if caught - lost > best:
-                best, chosen = caught - lost, cut
-        if chosen is not None:
-            out[key] = chosen
+def sequence(counts: dict[str, dict[int, tuple[int, int]]]) -> list[tuple[str, int]]:
+    """The steps (statistic, index of its cutoff) from rule set to rule set.
+
+    ``counts`` holds (good, bad) rows by statistic and number of cutoffs exceeded. A statistic's steps keep their order,
+    so the rule sets are nested; cutoffs that catch no more bad rows than a more lenient one are left out.
+    """
+    hulls = {}
+    for stat, steps in counts.items():
+        points = [(0, 0, -1)]
+        for i in range(STEPS):  # the strictest cutoffs are exceeded first
+            over = [v for s, v in steps.items() if s >= STEPS - i]
+            point = (sum(g for g, _ in over), sum(b for _, b in over), i)
+            if point[1] == points[-1][1]:
+                continue
+            while len(points) > 1 and (point[1] - points[-1][1]) * (points[-1][0] - points[-2][0]) >= (points[-1][1] - points[-2][1]) * (point[0] - points[-1][0]):
+                points.pop()
+            points.append(point)
+        gains = [((b - b0) / (g - g0 + 1), i) for (g0, b0, _), (g, b, i) in zip(points, points[1:])]
+        if gains:
+            hulls[stat] = gains
+    out, at = [], dict.fromkeys(hulls, 0)
+    while at:
+        stat = max(at, key=lambda s: (hulls[s][at[s]][0], s))
+        out.append((stat, hulls[stat][at[stat]][1]))
+        at[stat] += 1
+        if at[stat] == len(hulls[stat]):
+            del at[stat]
     return out
 
 
+def levels(steps: list[tuple[str, int]]) -> dict[str, list[int]]:
+    """By statistic and number of cutoffs exceeded: the first rule set that rejects, ``len(steps)`` if none does."""
+    out = {s: [len(steps)] * (STEPS + 1) for s in LADDERS}
+    for level in reversed(range(len(steps))):
+        stat, i = steps[level]
+        for exceeded in range(STEPS - i, STEPS + 1):
+            out[stat][exceeded] = level
+    return out
+
+
+def strata_tested(sizes: dict[str, int], risk: float, error: float) -> list[str]:
+    """The strata whose holdout is large enough for a test at the level that is left to each of them."""
+    ordered = sorted(sizes, key=lambda s: (-sizes[s], s))
+    for m in range(len(ordered), 0, -1):
+        if (1.0 - risk) ** sizes[ordered[m - 1]] <= error / m:
+            return ordered[:m]
+    return []
+
+
+def chosen(steps: list[tuple[str, int]], reached: dict[int, tuple[int, int]], n: int, risk: float, level: float) -> dict[str, float]:
+    """Cutoff by statistic of the best rule set that passes; ``reached``: (holdout good, bad) rows by first rejecting rule set."""
+    best, last, lost, caught = 0, -1, 0, 0
+    for i in range(len(steps)):
+        good, bad = reached.get(i, (0, 0))
+        lost, caught = lost + good, caught + bad
+        if binomial_tail(lost, n, risk) > level:
+            break
+        if caught - lost > best:
+            best, last = caught - lost, i
+    return {stat: ladder(stat)[i] for stat, i in steps[:last + 1]}
+
+
+def cutoffs(known: DataFrame, risk: float, error: float) -> dict[tuple[str, str], float]:
+    """Cutoff by (stratum, statistic) from labelled rows: ``_s, _good, _tune`` and the cutoffs exceeded by each statistic.
+
+    What reaches the driver are counts: strata with enough rows x statistics x steps.
+    """
+    sizes = known.filter("_good and not _tune").groupBy("_s").agg(F.count(F.lit(1)).alias("n"))
+    least = math.ceil(math.log(error) / math.log1p(-risk))  # no stratum passes with fewer
+    sizes = {r._s: r.n for r in sizes.filter(F.col("n") >= least).collect()}
+    tested = strata_tested(sizes, risk, error)
+    if not tested:
+        return {}
+    known = known.filter(F.col("_s").isin(tested))
+    long = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("step")) for s in LADDERS]))
+    per = known.filter("_tune or not _good").select("_s", "_good", long.alias("r")).groupBy("_s", "r.stat", "r.step")
+    counts: dict[str, dict] = {s: {} for s in tested}
+    for r in per.agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).collect():
+        counts[r._s].setdefault(r.stat, {})[r.step] = (r.good, r.bad)
+    steps = {s: sequence(dict(sorted(counts[s].items()))) for s in tested}
+    first = None  # the first rule set of its stratum that rejects a row
+    for s in tested:
+        table = levels(steps[s])
+        level = F.least(*[F.array(*map(F.lit, table[stat]))[F.col(stat)] for stat in LADDERS])
+        first = F.when(F.col("_s") == s, level) if first is None else first.when(F.col("_s") == s, level)
+    found: dict[str, dict] = {s: {} for s in tested}
+    rows = known.filter("not (_good and _tune)").groupBy("_s", first.alias("level"))
+    for r in rows.agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).collect():
+        found[r._s][r.level] = (r.good, r.bad)
+    return {(s, stat): cut for s in tested for stat, cut in chosen(steps[s], found[s], sizes[s], risk, error / len(tested)).items()}
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """The base counts, ``base_failed`` and ``kept`` of every row of ``docs``.
 
@@ -96,12 +170,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", label: str
     stats = materialise(ratios(docs.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit(""))), ["doc_id", "_s"]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).alias("_good"))
-    reached = F.array(*[F.struct(F.lit(s).alias("stat"), steps_passed(s).alias("step")) for s in LADDERS])
-    known = stats.filter(~failed).join(marks, "doc_id").select("_s", "_good", F.explode(reached).alias("r"))
-    per = known.groupBy("_s", "r.stat", "r.step").agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad"))
-    enough = math.log(error) / math.log1p(-risk / len(LADDERS))  # with fewer good rows no cutoff can pass
-    large = per.filter("stat = 'symbol_share'").groupBy("_s").agg(F.sum("good").alias("n")).filter(F.col("n") >= enough).select("_s")
-    found = cutoffs([tuple(r) for r in per.join(large, "_s").collect()], risk, error)  # strata x statistics x steps
+    tune = F.pmod(F.crc32(F.concat(F.lit("tune "), F.col("doc_id").cast("string"))), F.lit(4)) == 0
+    known = stats.filter(~failed).join(marks, "doc_id").select("_s", "_good", tune.alias("_tune"), *[steps_passed(s).alias(s) for s in LADDERS])
+    found = cutoffs(materialise(known), risk, error)
     bad: Column = F.lit(False)
     for s in sorted({k[0] for k in found}):
         over = F.lit(False)

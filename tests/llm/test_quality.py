@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -88,3 +89,42 @@ def test_binomial_tail_is_exact():
 def test_paths_of_a_printed_tree():
     tree = "DecisionTree\n  If (feature 0 <= 0.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 0 > 0.5)\n   Predict: 1.0"
     assert rule_ensemble.paths(tree, ["a", "b"]) == {(("a", False, 0.5),), (("a", True, 0.5),), (("a", False, 0.5), ("b", False, 2.0)), (("a", False, 0.5), ("b", True, 2.0))}
+
+
+def test_rule_sets_are_nested_and_levels_name_the_first_that_rejects():
+    r = random.Random(4)
+    names = list(risk_rules.LADDERS)
+    rows = [({s: min(int(r.expovariate(0.15 if b else 0.6)), risk_rules.STEPS) for s in names}, not b) for b in [True] * 80 + [False] * 300]
+    counts = {}
+    for steps, is_good in rows:
+        for s, n in steps.items():
+            g, b = counts.setdefault(s, {}).get(n, (0, 0))
+            counts[s][n] = (g + is_good, b + (not is_good))
+    path = risk_rules.sequence(counts)
+    assert path and all([i for s, i in path if s == name] == sorted({i for s, i in path if s == name}) for name in names)
+    table = risk_rules.levels(path)
+    for steps, _ in rows:
+        brute = next((k for k, (s, i) in enumerate(path) if steps[s] >= risk_rules.STEPS - i), len(path))
+        assert min(table[s][n] for s, n in steps.items()) == brute
+
+
+def test_chosen_rule_set_against_brute_force():
+    path = [("mean_word", 3), ("bar_share", 5), ("mean_word", 9), ("symbol_share", 40)]
+    reached = {0: (0, 30), 1: (2, 20), 2: (1, 1), 3: (90, 100), 4: (107, 3)}
+    got = risk_rules.chosen(path, reached, 200, 0.05, 0.05)  # 2 of 200 pass, 93 do not, and the third set gains nothing
+    assert got == {"mean_word": risk_rules.ladder("mean_word")[3], "bar_share": risk_rules.ladder("bar_share")[5]}
+    assert risk_rules.chosen(path, {0: (30, 60)}, 200, 0.05, 0.05) == {}
+    assert risk_rules.strata_tested({"a": 500, "b": 87, "c": 86, "d": 59, "e": 20}, 0.05, 0.05) == ["a", "b", "c"]
+    assert risk_rules.strata_tested({"d": 59}, 0.05, 0.05) == ["d"] and risk_rules.strata_tested({"d": 58}, 0.05, 0.05) == []
+
+
+def test_every_stratum_of_some_hundred_good_rows_has_cutoffs(spark):
+    langs = ["de", "en", "fr", None]
+    rows = [(i, bad(i) if i % 4 == 0 else good(i), langs[i // 4 % 4]) for i in range(4, 804)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 4 != 0)) for i, *_ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in risk_rules.judge(docs, marks).collect()}
+    for lang in langs:
+        mine = [i for i, _, at in rows if at == lang]
+        assert sum(not got[i] for i in mine if i % 4 == 0) >= 0.95 * len(mine) / 4, lang
+        assert sum(not got[i] for i in mine if i % 4) <= 0.05 * len(mine), lang
