@@ -73,7 +73,7 @@ def test_notices_against_brute_force(spark):
         if len(words) > 30:  # a word changed: four fifths of the shingles stay
             words[r.randrange(len(words))] = "changed"
             rows.append((500 + i, prose(i, 11) + " " + " ".join(words)))
-    got = {(x.doc_id, x.license) for x in license_scan.scan(documents(spark, rows)).collect()}
+    got = {(x.doc_id, x.license) for x in license_scan.scan(documents(spark, rows), overlapping=True).collect()}
 
     def shingles(t):
         import re
@@ -94,6 +94,20 @@ def test_notices_against_brute_force(spark):
         license_scan.scan(documents(spark, EMPTY), {"short": "three words only"})
 
 
+def test_the_best_of_overlapping_notices_is_named(spark):
+    notices = license_scan.NOTICES
+    rows, want = AWKWARD[:], set()
+    for i, (name, text) in enumerate(notices.items()):
+        rows.append((400 + i, prose(i, 37 * i) + "\n" + text.upper() + "\n" + prose(50 + i, 30)))
+        want.add((400 + i, name))
+    both = ["LGPL-3.0 header", "GPL header", "ISC"]  # apart, each has its row
+    rows.append((600, prose(7, 100) + " " + " ".join(notices[x] for x in both) + " " + prose(9, 50)))
+    want |= {(600, x) for x in both}
+    rows.append((None, prose(8, 20) + " " + notices["AGPL-3.0 header"]))
+    got = [(x.doc_id, x.license) for x in license_scan.scan(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([*want, (None, "AGPL-3.0 header")], key=repr)
+
+
 BENCH = [(i, f"What is {prose(900 + i, 20)}? It is {prose(950 + i, 8)}.") for i in range(30)] + [(98, None), (99, "?!")]
 
 
