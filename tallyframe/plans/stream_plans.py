@@ -48,9 +48,9 @@ def _(t):
 
 
 @query("attempt_log_stream", """
-select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 10 minute from events) group by all""")
+select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by all""")
 def _(t):
-    out = lo.drain(lo.windowed_counts(_log(t), "ts", "1 day", "10 minutes", "event_type"))
+    out = lo.drain_to_end(_log(t), "ts", lambda log: lo.windowed_counts(log, "ts", "1 day", "10 minutes", "event_type"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -58,7 +58,7 @@ def _(t):
 with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hour, true) as fresh from events),
 s as (select *, sum(fresh::integer) over (partition by user_id order by ts rows unbounded preceding) as session from e),
 g as (select user_id, session, min(ts) as first, max(ts) as last, count(*) as n from s group by all)
-select user_id, epoch_us(first) as start_us, n from g where last + interval 6 hour <= (select max(ts) - interval 10 minute from events)""")
+select user_id, epoch_us(first) as start_us, n from g""")
 def _(t):
-    out = lo.drain(lo.sessions(_log(t), "ts", "6 hours", "10 minutes", "user_id"))
+    out = lo.drain_to_end(_log(t), "ts", lambda log: lo.sessions(log, "ts", "6 hours", "10 minutes", "user_id"))
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "n")

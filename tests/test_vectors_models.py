@@ -370,3 +370,31 @@ def test_latest_state_over_several_batches(spark, tmp_path):
     stream = logs.read_log(spark, str(src), "*.parquet", "path string, ts int, id int, source string", files_per_trigger=1)
     logs.latest_state_stream(stream, ["path"], ["ts", "id"], ["source"], str(tmp_path / "out"), str(tmp_path / "state"))
     assert rows(logs.read_latest(spark, str(tmp_path / "out")).select("path", "source")) == [("a", "s2"), ("k0", "x"), ("k1", "x"), ("k2", "x")]
+
+
+def test_state_table_of_a_growing_history_keeps_two_versions(spark, tmp_path):
+    src, want = tmp_path / "log", {}
+    for i in range(7):
+        batch = [(f"k{k}", i if (k + i) % 3 else -i, 10 * i + k, f"s{i}") for k in range(0, 40, 1 + i % 3)]
+        spark.createDataFrame(batch, "path string, ts int, id int, source string").coalesce(1).write.mode("append").parquet(str(src))
+        for k, ts, id_, source in batch:
+            want[k] = max(want.get(k, (-99, 0, "")), (ts, id_, source))
+    stream = logs.read_log(spark, str(src), "*.parquet", "path string, ts int, id int, source string", files_per_trigger=1)
+    out = str(tmp_path / "out")
+    logs.latest_state_stream(stream, ["path"], ["ts", "id"], ["source"], out, str(tmp_path / "state"), buckets=4)
+    assert {r["path"]: r["source"] for r in logs.read_latest(spark, out).collect()} == {k: v[2] for k, v in want.items()}
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 2 * 4
+
+
+def test_open_windows_and_sessions_are_emitted_at_the_end(spark, tmp_path):
+    src = tmp_path / "log"
+    times = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 09:00:00", "b"), ("2024-01-02 00:30:00", "a"), ("2024-01-02 00:31:00", "b")]
+    for at in range(0, 5, 2):
+        rows_ = spark.createDataFrame(times[at:at + 2], "at string, key string").select(F.col("at").cast("timestamp").alias("at"), "key")
+        rows_.coalesce(1).write.mode("append").parquet(str(src))
+    log = logs.read_log(spark, str(src), "*.parquet", "at timestamp, key string", files_per_trigger=1)
+    counts = logs.drain_to_end(log, "at", lambda s: logs.windowed_counts(s, "at", "1 day", "1 day", "key"))
+    assert rows(counts.select(F.date_format("start", "dd").alias("d"), "key", "n")) == [("01", "a", 2), ("01", "b", 1), ("02", "a", 1), ("02", "b", 1)]
+    spans = logs.drain_to_end(log, "at", lambda s: logs.sessions(s, "at", "1 hour", "1 day", "key"))
+    assert rows(spans.select(F.date_format("start", "dd HH:mm").alias("d"), "key", "n")) == [
+        ("01 00:10", "a", 2), ("01 09:00", "b", 1), ("02 00:30", "a", 1), ("02 00:31", "b", 1)]
