@@ -37,6 +37,9 @@ RATE_LIMIT = 10
 RATE_WINDOW_S = 60
 MAX_HISTORY = 12
 
+# Words for a missing value in CSV files
+CSV_MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # Evaluation and display
 ECE_BINS = 10
 LOW_CONFIDENCE = 0.5

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import fixed
 from ..functions.urls import host_matches
 
+WHOLE_BYTES = 256 << 20  # files up to this size are read as one value
+CHUNK_BYTES = 8 << 20
+
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Newline-delimited JSON records with an explicit schema (no inference pass over the data)."""
@@ -39,7 +48,7 @@ def json_fields(df: DataFrame, column: str, schema: str, keep: list[str]) -> Dat
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, literal_na: bool = False, multi_line: bool = False) -> DataFrame:
-    """CSV with a header. By default '' and 'NA' are null; ``literal_na`` keeps both as text.
+    """CSV with a header. By default '' and the usual words for a missing value are null; ``literal_na`` keeps them as text.
 
     A file is split into tasks; ``multi_line`` allows line breaks inside quotes and makes a file one task.
     """
@@ -48,8 +57,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, literal_na: bool = Fal
         return reader.option("nullValue", "\u0000").option("emptyValue", "").csv(path).na.fill("")
     df = reader.option("nullValue", "").csv(path)
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    missing = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None"]
-    return df.select(*[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
+    return df.select(*[F.when(~F.col(c).isin(fixed.CSV_MISSING), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
 
 
 def read_parts(spark: SparkSession, root: str) -> DataFrame:
@@ -70,14 +78,32 @@ def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFram
     return spark.read.text(path).withColumnRenamed("value", column)
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """sha256, size and path of every file; contents are hashed in the tasks that read them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-    )
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sha256 of the files of ``path``, read in chunks."""
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            system, name = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while chunk := stream.read(CHUNK_BYTES):
+                    digest.update(chunk)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(out, pa.string()), batch.column("bytes")], names=["file", "sha256", "bytes"])
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE_BYTES) -> DataFrame:
+    """sha256, size and path below ``path`` of every file; contents are hashed in the tasks that read them.
+
+    Files of equal name in different folders keep apart. A file above ``whole`` bytes is never held as one value: a
+    task of its own streams it through the digest, so files may be of any size. Spark lists no empty files: they have no row.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    root = path.split(":", 1)[-1].strip("/") + "/"
+    below = F.substring_index("path", root, -1).alias("file")
+    small = files.filter(F.col("length") <= whole).select(below, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    large = files.filter(F.col("length") > whole).select("path", below, F.col("length").alias("bytes"))
+    return small.unionByName(large.mapInArrow(_digests, "file string, sha256 string, bytes long"))
 
 
 def checksum_verify(current: DataFrame, recorded: DataFrame, key: str = "file", digest: str = "sha256") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tallyframe import fixed
 from tallyframe.functions import text, urls, values
 from tallyframe.operators import aggregates, checks, evaluate, joins, rules, sampling, stats, windows
 from tallyframe.sources import readers, sinks
@@ -239,3 +240,38 @@ def test_first_n_keeps_the_null_group(spark, n):
 def test_markers_are_found_behind_long_heads(spark):
     assert col(spark, ["x" * 9000 + "Just a moment"], lambda c: text.marker_screen(c, ["Just a moment"])) == [True]
     assert col(spark, ["x" * 9000 + "Just a moment"], lambda c: text.marker_screen(c, ["Just a moment"], head=8192)) == [False]
+
+
+# ---------------------------------------------------------------- files, funnel
+def test_manifest_keeps_equal_names_apart_and_reads_in_chunks(spark, tmp_path):
+    import hashlib
+
+    data = {"a/x.bin": b"1" * 1000, "b/x.bin": b"2" * 70_000, "b/c/x.bin": b"", "y.bin": b"3"}
+    for name, body in data.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    want = sorted((name, hashlib.sha256(body).hexdigest(), len(body)) for name, body in data.items() if body)  # Spark lists no empty files
+    assert rows(readers.file_manifest(spark, str(tmp_path))) == want
+    assert rows(readers.file_manifest(spark, f"file:{tmp_path}/", "*.bin", whole=500)) == want  # two files are streamed
+    then = readers.file_manifest(spark, str(tmp_path)).withColumn("sha256", F.when(F.col("file") != "a/x.bin", F.col("sha256")).otherwise(F.lit("?")))
+    got = readers.checksum_verify(readers.file_manifest(spark, str(tmp_path)), then.filter("file <> 'y.bin'"))
+    assert rows(got) == [("a/x.bin", "differs"), ("b/x.bin", "match"), ("y.bin", "unrecorded")]
+
+
+def test_funnel_against_brute_force(spark):
+    data = [(i % 7 if i % 11 else None, i % 5, i % 3 > 0, i % 4 > 0 if i % 13 else None) for i in range(200)]
+    df = spark.createDataFrame(data, "rec int, item int, a boolean, b boolean")
+    got = rows(aggregates.funnel(df, {"all": F.lit(True), "a": F.col("a"), "b": F.col("b")}, "rec", "item"))
+    want = []
+    for step, (name, keep) in enumerate([("all", lambda r: True), ("a", lambda r: r[2]), ("b", lambda r: r[2] and r[3])]):
+        left = [r for r in data if keep(r)]
+        want.append((step, name, len(left), len({r[0] for r in left} - {None}), len({r[1] for r in left}), len(left) / len(data)))
+    assert got == want
+    assert [r[2:] for r in rows(aggregates.funnel(df.limit(0), {"all": F.lit(True)}, "rec", "item"))] == [(0, 0, 0, None)]
+
+
+def test_words_for_a_missing_csv_value(spark, tmp_path):
+    words = [w for w in fixed.CSV_MISSING if w] + ["x", "none", "na"]
+    (tmp_path / "a.csv").write_text("id,v\n" + "".join(f"{i},{w}\n" for i, w in enumerate(words)))
+    got = readers.read_csv(spark, str(tmp_path), "id int, v string").orderBy("id").collect()
+    assert [r["v"] for r in got] == [None] * (len(words) - 3) + ["x", "none", "na"]
