@@ -18,21 +18,27 @@ from ..core.scale import join_small
 def accept(times: np.ndarray, recent: deque, limit: int, window_us: int) -> np.ndarray:
     """Accepted flags of sorted times, given and updating the accepted times still in the window.
 
-    An accepted time leaves the window once it is strictly more than ``window_us`` old. While the
-    window is full every row up to the next departure is rejected, so the loop takes one turn per
-    accepted row, not one per row.
+    ``recent`` holds the last accepted times, ``limit`` at most. A row is accepted if the ``limit``-th accepted time
+    before it is more than ``window_us`` older. Otherwise every row up to that moment is rejected and skipped at once, so
+    the loop takes one turn per accepted row, not one per row.
     """
-    ok = np.zeros(len(times), dtype=bool)
-    i = 0
+    taken = list(recent)
+    known = len(taken)
+    at = []  # the accepted rows
+    i = 0 if limit > 0 else len(times)
     while i < len(times):
-        while recent and times[i] - recent[0] > window_us:
-            recent.popleft()
-        if len(recent) < limit:
-            ok[i] = True
-            recent.append(int(times[i]))
-            i += 1
-        else:
-            i = max(i + 1, int(np.searchsorted(times, recent[0] + window_us, side="right")))
+        nth = len(taken) - limit
+        if nth >= 0 and times[i] <= taken[nth] + window_us:
+            i = int(np.searchsorted(times, taken[nth] + window_us, side="right"))
+            continue
+        at.append(i)
+        taken.append(int(times[i]))
+        i += 1
+    if len(taken) > known:
+        recent.clear()
+        recent.extend(taken[-limit:])
+    ok = np.zeros(len(times), dtype=bool)
+    ok[at] = True
     return ok
 
 
