@@ -88,14 +88,17 @@ def cramers_table(df: DataFrame, columns: list[str], cls: str) -> DataFrame:
     s = cells.join(rows, ["variable", "value"]).join(cols, ["variable", "cls"]).groupBy("variable").agg(
         F.sum("o").cast("double").alias("n"), F.sum(F.col("o") / F.col("ri") * F.col("o") / F.col("cj")).alias("q"),
         F.countDistinct("value").alias("r"), F.countDistinct("cls").alias("k"))
-    n, r, k = F.col("n"), F.col("r").cast("double"), F.col("k").cast("double")
-    phi2 = F.greatest(F.col("q") - 1, F.lit(0.0))
-    raw = F.sqrt(phi2 / F.greatest(F.lit(1.0), F.least(r, k) - 1))
-    phi2c = F.greatest(F.lit(0.0), phi2 - F.try_divide((k - 1) * (r - 1), n - 1))
-    rc = r - F.try_divide((r - 1) * (r - 1), n - 1)
-    kc = k - F.try_divide((k - 1) * (k - 1), n - 1)
-    corrected = F.sqrt(phi2c / F.greatest(F.lit(1e-12), F.least(rc, kc) - 1))
-    return s.select("variable", n.cast("long").alias("n"), F.col("r").alias("levels"), raw.alias("raw_value"), corrected.alias("value"))
+    association = F.greatest(F.col("q") - 1, F.lit(0.0))
+    free = [F.col(levels).cast("double") - 1 for levels in ("r", "k")]  # degrees of freedom of the two sides
+    # Bergsma (2013): independent columns have an association of free_1 * free_2 / (n - 1) on average, and each side
+    # loses the share free / (n - 1) of its degrees of freedom
+    share = [F.try_divide(f, F.col("n") - 1) for f in free]
+    excess = F.greatest(F.lit(0.0), association - free[0] * share[1])
+    left = F.least(*[f * (1 - lost) for f, lost in zip(free, share)])
+    return s.select(
+        "variable", F.col("n").cast("long").alias("n"), F.col("r").alias("levels"),
+        F.sqrt(association / F.greatest(F.lit(1.0), F.least(*free))).alias("raw_value"),
+        F.sqrt(excess / F.greatest(F.lit(1e-12), left)).alias("value"))
 
 
 def eta_table(df: DataFrame, columns: list[str], cls: str) -> DataFrame:
