@@ -231,21 +231,29 @@ def group_medians(df: DataFrame, cls: str, measures: list[str], places: int = 4)
 
 
 def funnel(df: DataFrame, stages: dict[str, Column], record: str, item: str) -> DataFrame:
-    """Rows, records and ids left after each stage, with the share of the first stage; one pass."""
-    so_far, cols = F.lit(True), []
-    for name, cond in stages.items():
+    """Rows, records and ids left after each stage, with the share of the first stage.
+
+    Stages are nested, so a row is described by the number of stages it passes, and a record or item by the largest
+    number of its rows: one grouped pass each, whose partial maxima combine before the shuffle.
+    """
+    passed, so_far = F.lit(0), F.lit(True)
+    for cond in stages.values():
         so_far = so_far & F.coalesce(cond, F.lit(False))
-        cols.append((name, so_far))
-    base = df.select(record, item, *[c.alias(f"_s{i}") for i, (_, c) in enumerate(cols)])
-    one = base.agg(*[x for i in range(len(cols)) for x in (
-        F.count_if(F.col(f"_s{i}")).alias(f"r{i}"),
-        F.countDistinct(F.when(F.col(f"_s{i}"), F.col(record))).alias(f"d{i}"),
-        F.countDistinct(F.when(F.col(f"_s{i}"), F.col(item))).alias(f"i{i}"))])
+        passed = passed + so_far.cast("int")
+    base = df.select(record, item, passed.alias("_passed"))
+
+    def reached(kind: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_passed").agg(F.count(F.lit(1)).alias("_n")).withColumn("_kind", F.lit(kind))
+
+    furthest = {kind: base.filter(F.col(c).isNotNull()).groupBy(c).agg(F.max("_passed").alias("_passed")) for kind, c in (("record", record), ("item", item))}
+    counts = reached("row", base).unionByName(reached("record", furthest["record"])).unionByName(reached("item", furthest["item"]))
+    left = lambda kind, i: F.coalesce(F.sum(F.when((F.col("_kind") == kind) & (F.col("_passed") > i), F.col("_n"))), F.lit(0))
     lines = F.array(*[F.struct(
-        F.lit(i).alias("step"), F.lit(name).alias("stage"), F.col(f"r{i}").alias("n_rows"), F.col(f"d{i}").alias("n_records"),
-        F.col(f"i{i}").alias("n_items"), F.try_divide(F.col(f"r{i}").cast("double"), F.col("r0").cast("double")).alias("share"))
-        for i, (name, _) in enumerate(cols)])
-    return one.select(F.inline(lines))
+        F.lit(i).alias("step"), F.lit(name).alias("stage"), left("row", i).alias("n_rows"), left("record", i).alias("n_records"), left("item", i).alias("n_items"))
+        for i, name in enumerate(stages)])
+    first = F.coalesce(F.sum(F.when((F.col("_kind") == "row") & (F.col("_passed") > 0), F.col("_n"))), F.lit(0)).alias("_first")
+    out = counts.agg(lines.alias("_lines"), first).select("_first", F.inline("_lines"))
+    return out.select("step", "stage", "n_rows", "n_records", "n_items", F.try_divide(F.col("n_rows").cast("double"), F.col("_first").cast("double")).alias("share"))
 
 
 def dropped_classes(df: DataFrame, cls: str, kept: Column, item: str, target: int) -> DataFrame:
