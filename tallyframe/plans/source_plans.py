@@ -80,9 +80,10 @@ def _(t):
 
 
 @query("table_fingerprint", """
-select count(*) as n_rows, cast(sum(cast('0x' || substr(md5(concat_ws('|', c_custkey, c_name, c_nationkey, c_mktsegment)), 1, 15) as bigint)) as varchar) as fingerprint from customer""")
+select count(*) as n_rows, cast(sum(cast('0x' || substr(md5(concat_ws('|', c_custkey, c_name, c_nationkey, c_mktsegment, cast(round(c_acctbal * 100) as bigint))), 1, 15) as bigint)) as varchar) as fingerprint from customer""")
 def _(t):
-    return sk.table_fingerprint(t.customer, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")  # a text that all engines write alike
+    return sk.table_fingerprint(t.customer.withColumn("cents", cents), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "cents"])
 
 
 @query("keyed_append_log", "select event_type, count(*) as n, max(event_id) as last_id from events group by 1")

@@ -130,18 +130,18 @@ def _(t):
 with b as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations),
 w as (select * from b where back <= 4),
 e as (select conv_id, min(turn) filter (role = 'user') as f, max_by(role, turn) as last_role from w group by 1)
-select conv_id, turn, role from w join e using (conv_id) where last_role = 'user' and turn >= f""")
+select conv_id, turn, role, text from w join e using (conv_id) where last_role = 'user' and turn >= f""")
 def _(t):
-    return wn.history_tail(t.conversations.select("conv_id", "turn", "role"), "conv_id", "turn", "role", limit=4)
+    return wn.history_tail(t.conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn", "role", limit=4)
 
 
 @query("history_tail_full", """
 with b as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations),
 w as (select * from b where back <= 12),
 e as (select conv_id, min(turn) filter (role = 'user') as f, max_by(role, turn) as last_role from w group by 1)
-select conv_id, turn, role from w join e using (conv_id) where last_role = 'user' and turn >= f""")
+select conv_id, turn, role, text from w join e using (conv_id) where last_role = 'user' and turn >= f""")
 def _(t):
-    return wn.history_tail(t.conversations.select("conv_id", "turn", "role"), "conv_id", "turn", "role")
+    return wn.history_tail(t.conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn", "role")
 
 
 @query("duplicate_keys", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
