@@ -27,6 +27,11 @@ MARKED = r"^(?P<zero>\x00?)(?P<line>\n?)(?P<word>\p{L}+)(?P<mark>[.,;:!?]?)$"
 JOINED = 64  # letter units that are encoded as one text, with a mark between them
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """An array's strings, converted all at once rather than scalar by scalar."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """``encode(texts)`` gives one flat uint32 array and the number of ids of each text.
 
@@ -57,8 +62,8 @@ class Encoder:
         return unit[1:] if unit[:1] == "\x00" else " " + unit
 
     def _letters(self, unit: str) -> bool:
-        """Whether a unit is letters, and stays so when the normalizer puts it in lower case."""
-        return unit.isalpha() and (not self.words or unit.isascii() or unicodedata.normalize("NFC", unit).lower().isalpha())
+        """Whether a unit of letters beyond ASCII is letters here too, and stays so when the normalizer puts it in lower case."""
+        return unit.isalpha() and (not self.words or unicodedata.normalize("NFC", unit).lower().isalpha())
 
     def _append(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m, total = len(self.index), len(units), len(ids)
@@ -101,8 +106,8 @@ class Encoder:
         shift += np.arange(len(shift))
         return self.flat[shift], ends
 
-    def _learn(self, units: pa.Array) -> None:
-        """Encode new units; those that are letters and a mark are put together from their distinct parts."""
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Encode new units and say where they are; those that are letters and a mark are put together from their distinct parts."""
         parts = pc.extract_regex(units, MARKED)
         if self.words:  # a line or zero in a unit is no part of a word there
             parts = pc.if_else(pc.equal(pc.binary_join_element_wise(pc.struct_field(parts, "zero"), pc.struct_field(parts, "line"), ""), ""), parts, None)
@@ -112,29 +117,50 @@ class Encoder:
         bare = pc.or_(pc.equal(line, "\n"), pc.equal(zero, "\x00"))
         word = pc.ascii_lower(word) if self.words else pc.binary_join_element_wise(pc.if_else(bare, "\x00", ""), word, "")
         coded = word.dictionary_encode()
-        bases = coded.dictionary.to_pylist()
-        good = np.fromiter((self._letters(b[1:] if b[0] == "\x00" else b) for b in bases), dtype=bool, count=len(bases))
-        need = [b for b, ok in zip(bases, good.tolist(), strict=True) if ok and b not in self.index]
-        self._encode_letters([b for b in need if b[0] != "\x00"])
+        bases = _strings(coded.dictionary)
+        good = pc.string_is_ascii(coded.dictionary).to_numpy(zero_copy_only=False).copy()
+        for i in np.flatnonzero(~good).tolist():
+            good[i] = self._letters(bases[i].removeprefix("\x00"))
+        place = self._places(bases)
+        need = np.flatnonzero(good & (place < 0)).tolist()
+        first = [i for i in need if bases[i][0] == "\x00"]
+        inner = [i for i in need if bases[i][0] != "\x00"] if first else need
+        place[inner] = len(self.index) + np.arange(len(inner))
+        self._encode_letters([bases[i] for i in inner])
         keep = good[coded.indices.to_numpy()]
         signs = {x if self.words else "\x00" + x: 0 for x in pc.unique(mark).to_pylist() if x}
         if not self.words:
             signs["\x00\n"] = 0
-        rest = units.filter(pc.invert(simple)).to_pylist() + own.filter(pa.array(~keep)).to_pylist()
-        self._encode_units([*(b for b in need if b[0] == "\x00"), *(x for x in signs if x not in self.index), *rest])
+        other = ~simple.to_numpy(zero_copy_only=False)
+        other[~other] = ~keep
+        rest = _strings(units.filter(pa.array(other)))
+        place[first] = len(self.index) + np.arange(len(first))
+        self._encode_units([bases[i] for i in first])
+        self._encode_units([x for x in signs if x not in self.index])
+        at = np.empty(len(units), dtype=np.int64)
+        # a unit of the rest may be there by now: a line break alone, or a text's first unit that is a mark
+        held = self._places(rest)
+        fresh = np.flatnonzero(held < 0)
+        held[fresh] = len(self.index) + np.arange(len(fresh))
+        self._encode_units([rest[i] for i in fresh.tolist()])
+        at[other] = held
         made = keep & pc.not_equal(own, word).to_numpy(zero_copy_only=False)
+        where = np.flatnonzero(~other)
+        same = keep & ~made
+        at[where[same[keep]]] = place[coded.indices.to_numpy()[same]]
         if not made.any():
-            return
-        place = self._places(bases)
+            return at
         put = pa.array(made)
         middle = place[coded.indices.to_numpy()[made]]
         marks = mark.filter(put).dictionary_encode()
         after = np.array([self.index[x if self.words else "\x00" + x] if x else -1 for x in marks.dictionary.to_pylist()], dtype=np.int64)[marks.indices.to_numpy()]
         before = np.where(pc.equal(line.filter(put), "\n").to_numpy(zero_copy_only=False), self.index.get("\x00\n", -1), -1)
-        at = np.column_stack([before, middle, after])
-        ids, ends = self._gather(at[at >= 0])
-        last = np.cumsum((at >= 0).sum(axis=1)) - 1
-        self._append(own.filter(put).to_pylist(), ids, np.diff(ends[last], prepend=0))
+        parts_at = np.column_stack([before, middle, after])
+        ids, ends = self._gather(parts_at[parts_at >= 0])
+        last = np.cumsum((parts_at >= 0).sum(axis=1)) - 1
+        at[where[made[keep]]] = len(self.index) + np.arange(len(last))
+        self._append(_strings(own.filter(put)), ids, np.diff(ends[last], prepend=0))
+        return at
 
     def _shrink(self, units: list[str]) -> None:
         """Keep only the given units."""
@@ -159,14 +185,14 @@ class Encoder:
         else:
             cut = pc.split_pattern(pc.binary_join_element_wise("\x00", pc.replace_substring(safe, "\n", " \n"), ""), " ")
         coded = cut.flatten().dictionary_encode()
-        units = coded.dictionary.to_pylist()
+        units = _strings(coded.dictionary)
         own = self._places(units)
         new = own < 0
         if new.any():
             if len(self.index) + new.sum() > UNITS_KEPT:
                 self._shrink([u for u, n in zip(units, new.tolist(), strict=True) if not n])
-            self._learn(coded.dictionary.filter(pa.array(new)))
-            own = self._places(units)
+                own[~new] = np.arange(len(self.index))
+            own[new] = self._learn(coded.dictionary.filter(pa.array(new)))
         flat, ends = self._gather(own[coded.indices.to_numpy()])
         per = np.diff(cut.offsets.to_numpy())
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
