@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 12 << 20  # of a batch that goes to Python; whole slices of 4 or 6 MiB
+
 
 def local_session(cores: str = "*", app: str = "tallyframe", memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -27,9 +29,14 @@ def local_session(cores: str = "*", app: str = "tallyframe", memory: str = "8g")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings the results depend on (time zone) and adaptive execution."""
+    """Pin the settings the results depend on (time zone), adaptive execution, and the bytes of an Arrow batch.
+
+    By default a batch holds 10,000 rows; with long texts that is tens of megabytes, several times over
+    in the JVM and in each worker.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
