@@ -38,7 +38,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([
                     piece.column("doc_id"), pa.array(np.full(b - a, part), pa.int32()), pa.array(before + ends - counts, pa.int64()),
                     pa.array(counts, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.astype(np.int32)))],
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.view(np.int32)))],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"])
                 before += int(ends[-1])
 

@@ -216,4 +216,4 @@ def encoder(path: str) -> Encoder:
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end_id`` to every text's ids."""
-    return np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype(np.uint32), counts + 1
+    return np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype(np.uint32, copy=False), counts + 1
